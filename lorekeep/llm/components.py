@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, discard
 from ..sources.tables import table
 
 
 def _collapse(parents: DataFrame) -> DataFrame:
-    """(node, parent) of a forest, roots pointing at themselves -> (node, root), by pointer doubling."""
+    """(node, parent) of a forest, roots pointing at themselves -> the same with each node's root as its parent, by pointer doubling."""
     while True:
+        before = parents
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         parents = cut(
             parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
         )
+        discard(before)
         if not parents.where("moved").take(1):
-            return parents.select("node", F.col("parent").alias("root"))
-        parents = parents.select("node", "parent")
+            return parents
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     component has exactly one smallest outgoing edge and hooks along it; the only cycles are two
     components that chose the same edge, where the smaller becomes the root. Trees collapse by
     pointer doubling, edges are relabelled by root and deduplicated, until none remain. Components at
-    least halve in each round. Each round's tables are cut through the shared checkpoint folder.
+    least halve in each round. Each round's tables are cut through the shared folder.
     Choosing is a map-side minimum, so a hub that holds a third of all pairs is reduced before it
     is shuffled; relabelling joins it to one row, which adaptive execution splits.
     """
@@ -47,16 +48,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         back = hooks.select(F.col("node").alias("target"), F.col("target").alias("again"))
         mutual = (F.col("again") == F.col("node")) & (F.col("node") < F.col("target"))
         parents = hooks.join(back, "target").select("node", F.when(mutual, F.col("node")).otherwise(F.col("target")).alias("parent"))
-        step = _collapse(cut(parents))
+        flat = _collapse(cut(parents))
+        step = flat.select("node", F.col("parent").alias("root"))
         if labels is None:
-            labels = step
+            labels = cut(step)
         else:
             moved = step.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            labels = cut(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+            old, labels = labels, cut(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
+            discard(old)
         left, right = step.select(F.col("node").alias("u"), F.col("root").alias("ru")), step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        e = cut(
+        old, e = e, cut(
             e.join(left, "u").join(right, "v").where("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         )
+        discard(old, flat)
     alone = nodes.select(F.col(node).alias("node")).where("node is not null")
     if labels is None:
         return alone.distinct().select(F.col("node"), F.col("node").alias("component"))

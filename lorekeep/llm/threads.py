@@ -40,7 +40,7 @@ def resolve(nodes: DataFrame) -> DataFrame:
             (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("orphan"),
         )
     )
-    rounds = max(1, state.count()).bit_length() + 1
+    rounds = max(1, state.count()).bit_length() + 1  # as many as a path through all nodes takes
     done, live = state.where("not open"), state.where("open")
     for _ in range(rounds):
         if not live.take(1):
@@ -56,10 +56,10 @@ def resolve(nodes: DataFrame) -> DataFrame:
     return ok.union(live.select("node", F.lit(None).cast(dict(nodes.dtypes)["node"]), F.lit(None).cast("long"), F.lit("cycle")))
 
 
-def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str, chunk: str = "day") -> DataFrame:
+def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str, chunk: str = "hour") -> DataFrame:
     """(node, parent): each row answers the row before it in its thread by (``at``, ``node``).
 
-    The order within a thread is found per (thread, day) and the days of a thread are linked by their
+    The order within a thread is found per (thread, hour) and the hours of a thread are linked by their
     last rows, so that one very long thread is sorted in many tasks.
     """
     w = Window.partitionBy(thread, "_chunk").orderBy(at, node)
