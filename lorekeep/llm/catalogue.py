@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import components, encoding, formatting, history, packing, splitting, threads
+from . import components, disclosure, encoding, formatting, history, packing, splitting, threads
 
-MODULES = [history, threads, components, formatting, encoding, packing, splitting]
+MODULES = [history, disclosure, threads, components, formatting, encoding, packing, splitting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
