@@ -71,9 +71,10 @@ _COUNTED = re.compile(r"(?:сч[её]т|account|trace|ticket|тикет|заяв
 
 _CAP = r"(?:[A-ZА-ЯЁ][a-zа-яё]+|[A-Z]['’][A-Z][a-z]+)(?:[-‑'’][A-ZА-ЯЁ]?[a-zа-яё]+)*"
 _INITIAL = r"[A-ZА-ЯЁ]\."
-_RUN = re.compile(rf"(?<=[a-zа-яё] )(?:{_CAP}|{_INITIAL})(?: ?(?<=[\s.])(?:{_CAP}|{_INITIAL}))*(?![-\w@/])")
+_RUN = re.compile(rf"(?:(?<=[a-zа-яё] )|(?<=[a-zа-яё]: ))(?:{_CAP}|{_INITIAL})(?: ?(?<=[\s.])(?:{_CAP}|{_INITIAL}))*(?![-\w@/])")
+_WITH_INITIALS = re.compile(rf"(?<!\w)(?:{_INITIAL} ?)+({_CAP})(?![-\w@/])|(?<!\w)({_CAP}) {_INITIAL} ?{_INITIAL}")
 _TOKEN = re.compile(rf"[^\W\d_]+(?:[-‑'’][^\W\d_]+)*(?:(?<![^\W\d_]{{2}})\.)?")
-_LOWER = re.compile(r"(?<![\w\-'’.+@/])[a-zа-яё]{3,}(?![\w\-+@/]|\.\w)")
+_LOWER = re.compile(r"(?<![\w\-'’.+@/])[a-zа-яё]{2,}(?![\w\-+@/]|\.\w)")
 _PATRONYMIC = re.compile(r"[а-яё]{2,}(?:ович|евич|овн|евн|иничн)(?:а|у|ем|ом|е|ой|ы|и|ою)?|(?:ильич|кузьмич|фомич|лукич|никитич)(?:а|у|ом|ем|е)?")
 # Fixed value: case endings of Russian names, longest first.
 _ENDINGS = ("ого", "ому", "ыми", "ими", "ией", "ием", "ия", "ию", "ии", "ий", "ой", "ою", "ей", "ею", "ом", "ем", "ым", "им", "ых", "их", "ую", "ая", "ый", "а", "я", "у", "ю", "ы", "и", "е", "о", "ь", "й")
@@ -213,8 +214,8 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not t or letter_case(t) != "mixed":
                 continue
             kept.append(t)
-            found = list(_RUN.finditer(t))
-            if not found:
+            found, initialled = list(_RUN.finditer(t)), list(_WITH_INITIALS.finditer(t))
+            if not found and not initialled:
                 continue
             spans = fixed_spans(t, "mixed")
             for m in found:
@@ -223,6 +224,9 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 run = re.findall(rf"{_CAP}|{_INITIAL}", m.group())
                 whole = [w for w in run if w[-1] != "."]
                 (named if len(run) > 1 else alone).update(stem(w) for w in whole)
+            for m in initialled:
+                if _free([*spans, *((*f.span(), "") for f in found)], *m.span()):
+                    named[stem(m[1] or m[2])] += 1
         plain.update(_LOWER.findall("\n".join(kept)))
         lower: Counter = Counter()
         for w, n in plain.items():
@@ -234,8 +238,8 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def revealing_terms(texts: DataFrame) -> DataFrame:
     """(term, bits): terms whose occurrence reveals a personal name, by co-occurrence over all texts.
 
-    A term is seen in a name where it stands in a sentence within a run of two or more capitalised
-    parts (words or initials). bits = log2 of P(name | term) over P(name): the information about a
+    A term is seen in a name where it stands, within a sentence or after a colon, in a run of two or
+    more capitalised parts (words or initials), or after initials, or before two. bits = log2 of P(name | term) over P(name): the information about a
     person that the term discloses. Terms at or above the thresholds are kept.
     """
     counts = texts.mapInPandas(_observe, "term string, named long, alone long, plain long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("named", "alone", "plain")])
