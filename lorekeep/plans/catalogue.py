@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import temporal
+from . import facts, logs, temporal
 
-MODULES = [temporal]
+MODULES = [temporal, logs, facts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
