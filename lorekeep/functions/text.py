@@ -38,7 +38,7 @@ def fold_yo(c: Column) -> Column:
 
 def flat(c: Column) -> Column:
     """For containment tests: lower case, yo folded, white space collapsed and stripped; null becomes ''."""
-    return F.trim(F.regexp_replace(fold_yo(or_empty(c)), r"[ \t\n\x0B\f\r\u00A0]+", " "))
+    return F.trim(F.regexp_replace(fold_yo(or_empty(c)), r"[\s\p{Z}]+", " "))
 
 
 def contains_span(text: Column, span: Column) -> Column:

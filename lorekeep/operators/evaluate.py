@@ -22,9 +22,9 @@ def arm_verdicts(points: DataFrame, answers: DataFrame) -> DataFrame:
     ``points``: point_id, level, must, must_not; ``answers``: point_id, arm (a or b), answer. A leak is a control point
     (level C) whose arm a, the one with memory, hits a forbidden marker.
     """
-    p = answers.groupBy("point_id").pivot("arm", ["a", "b"]).agg(F.struct(F.first("answer").alias("answer")))
+    p = answers.groupBy("point_id").pivot("arm", ["a", "b"]).agg(F.first("answer"))
     j = points.join(p.where("a is not null and b is not null"), "point_id")
-    a, b = verdict(F.col("a.answer"), F.col("must"), F.col("must_not")), verdict(F.col("b.answer"), F.col("must"), F.col("must_not"))
+    a, b = verdict(F.col("a"), F.col("must"), F.col("must_not")), verdict(F.col("b"), F.col("must"), F.col("must_not"))
     v = j.select("point_id", "level", a.alias("va"), b.alias("vb"))
     return v.select("point_id", F.col("va.passed").alias("a_pass"), F.col("vb.passed").alias("b_pass"), ((F.col("level") == "C") & (F.size("va.hit") > 0)).alias("leak"))
 
@@ -95,9 +95,9 @@ def order_statistics(values: DataFrame, column: str, quantiles: list[float]) ->
     An exact distributed percentile over (value, count) pairs, aimed between places so that no rounding decides.
     """
     v = values.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    n = v.count()
+    n, kind = v.count(), dict(v.dtypes)["v"]
     if not n:
         return v.select(F.lit(0.0).alias("quantile"), F.col("v").alias("value")).where("false")
     exact = [F.expr(f"percentile_disc({(min(math.floor(n * q), n - 1) + 0.5) / n!r}) WITHIN GROUP (ORDER BY v)").alias(f"q{k}") for k, q in enumerate(quantiles)]
     row = v.agg(*exact)
-    return row.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(f"q{k}").alias("value")) for k, q in enumerate(quantiles)])).alias("x")).select("x.*")
+    return row.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(f"q{k}").cast(kind).alias("value")) for k, q in enumerate(quantiles)])).alias("x")).select("x.*")

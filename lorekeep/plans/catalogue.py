@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import facts, logs, temporal
+from . import evaluation, facts, lifecycle, logs, portraits, temporal
 
-MODULES = [temporal, logs, facts]
+MODULES = [temporal, logs, facts, portraits, evaluation, lifecycle]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
