@@ -18,18 +18,7 @@ def json_body(c: Column) -> Column:
     the end, else from the first opening bracket to its last closing one; null where there is none."""
     fenced = F.regexp_extract(c, r"(?s)```[A-Za-z]*\s*(.*?)(?:```|\z)", 1)
     body = F.when(F.contains(c, F.lit("```")) & fenced.rlike(r"[\[{]"), fenced).otherwise(c)
-    array, obj = F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    a, o = F.instr(body, "["), F.instr(body, "{")
-    array_first = (a > 0) & ((o == 0) | (a < o))
-    return blank_to_null(F.when(array_first, array).otherwise(obj))
-
-
-def fact_list(c: Column) -> Column:
-    """array of fact structs from a JSON array or from the ``facts`` of an object; empty if neither can be read."""
-    body = json_body(c)
-    many = F.when(F.ltrim(body).startswith("["), F.from_json(body, _ARRAY))
-    wrapped = F.when(~F.ltrim(body).startswith("["), F.from_json(body, f"facts {_ARRAY}")["facts"])
-    return F.coalesce(many, wrapped, F.from_json(F.lit("[]"), _ARRAY))
+    return blank_to_null(F.regexp_extract(body, r"(?s)^[^\[{]*(\[.*\]|\{.*\})", 1))
 
 
 def parse_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,7 +29,10 @@ def parse_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
     numeric texts, others are skipped. A fact with neither subject nor statement is dropped. Null, empty
     and unreadable answers have no facts.
     """
-    f = answers.select(key, F.posexplode(fact_list(F.col(text))).alias("place", "f"))
+    body = answers.select(key, json_body(F.col(text)).alias("_b")).where("_b is not null")  # computed once per answer, not once per use
+    array, wrapped = F.ltrim("_b").startswith("["), F.from_json("_b", f"facts {_ARRAY}")["facts"]
+    lists = body.select(key, F.when(array, F.from_json("_b", _ARRAY)).otherwise(wrapped).alias("_f"))
+    f = lists.select(key, F.posexplode("_f").alias("place", "f")).where("f is not null")
     up = lambda c: F.upper(F.trim(c))
     kind, domain, scope = up(F.col("f.kind")), up(F.col("f.domain")), up(F.col("f.scope"))
     full = blank_to_null(F.col("f.predicate")).isNotNull() & blank_to_null(F.col("f.object")).isNotNull()
