@@ -35,7 +35,7 @@ def _same_multiset(a: Column, b: Column) -> Column:
 
 
 def copies(records: DataFrame, *, number: str, same: dict[str, Column], fields: Column) -> DataFrame:
-    """(first, number, copies) for every record; ``first`` is the smallest number of the records it equals.
+    """(first, number) for every record that has an equal; ``first`` is the smallest number of the records it equals, itself included.
 
     Records are equal if each named value of ``same`` is equal (null equals null) and ``fields``, an
     array of strings, holds the same strings as often in any order. Each (field name, value) pair is
@@ -82,8 +82,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: its first fact, and how many copies it has in all, itself included."""
     facts = table(spark, folder, "facts").select("fact_no", "statement").where(F.size(statement_fields(F.col("statement"))) > 0)
-    counted = _fact_copies(spark, folder).groupBy(F.col("first").alias("fact_no")).agg(F.count("*").alias("copies"))
-    repeats = p6_found(spark, folder).select("fact_no")
+    repeated = _fact_copies(spark, folder)
+    counted = repeated.groupBy(F.col("first").alias("fact_no")).agg(F.count("*").alias("copies"))
+    repeats = repeated.where("first < number").select(F.col("number").alias("fact_no"))
     return facts.select("fact_no").join(repeats, "fact_no", "left_anti").join(counted, "fact_no", "left").select("fact_no", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import ensure_checkpoint_dir
+from ..shared import cut, ensure_checkpoint_dir
 from ..sources.tables import table
 from .words import words
 
@@ -334,6 +334,11 @@ class History:
             out = one if out is None else out.union(one)
         return out.groupBy("number").agg(F.min("first").alias("first"))
 
+    def drop(self) -> None:
+        """Delete the segments and matches."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
 
 # ------------------------------------------------------------------ the facts
 
@@ -386,9 +391,11 @@ def _first_of(spark: SparkSession, kept: DataFrame) -> DataFrame:
     for number in sorted(r.batch_no for r in kept.select("batch_no").distinct().collect()):  # one value a batch
         batch = kept.where(F.col("batch_no") == number).groupBy("block", "letters").agg(F.min("fact_no").alias("number"))
         history.add(batch.withColumn("tokens", tokens))
+    found = cut(history.found())
+    history.drop()
     later = kept.where("batch_no > 0")
     classes = later.groupBy("batch_no", "block", "letters").agg(F.min("fact_no").alias("number"))
-    answer = classes.join(history.found(), "number", "left").select("batch_no", "block", "letters", F.coalesce("first", "number").alias("first_no"))
+    answer = classes.join(found, "number", "left").select("batch_no", "block", "letters", F.coalesce("first", "number").alias("first_no"))
     return later.join(answer, ["batch_no", "block", "letters"]).where("first_no < fact_no").select("first_no", "fact_no")
 
 
