@@ -29,10 +29,10 @@ def parse_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
     numeric texts, others are skipped. A fact with neither subject nor statement is dropped. Null, empty
     and unreadable answers have no facts.
     """
-    body = answers.select(key, json_body(F.col(text)).alias("_b")).where("_b is not null")  # computed once per answer, not once per use
+    body = answers.select(key, json_body(F.col(text)).alias("_b"))
     array, wrapped = F.ltrim("_b").startswith("["), F.from_json("_b", f"facts {_ARRAY}")["facts"]
     lists = body.select(key, F.when(array, F.from_json("_b", _ARRAY)).otherwise(wrapped).alias("_f"))
-    f = lists.select(key, F.posexplode("_f").alias("place", "f")).where("f is not null")
+    f = lists.select(key, F.posexplode_outer("_f").alias("place", "f")).where("f is not null")  # outer: no filter on the list that would read it twice
     up = lambda c: F.upper(F.trim(c))
     kind, domain, scope = up(F.col("f.kind")), up(F.col("f.domain")), up(F.col("f.scope"))
     full = blank_to_null(F.col("f.predicate")).isNotNull() & blank_to_null(F.col("f.object")).isNotNull()

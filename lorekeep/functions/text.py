@@ -59,7 +59,8 @@ def answer_text(c: Column) -> Column:
 def matches_marker(answer: Column, marker: Column) -> Column:
     """Whether the marker occurs in the answer as whole words; false if either is null or the marker is blank."""
     m = strip_thousands(F.regexp_replace(fold_yo(or_empty(marker)), r"^\s+|\s+$", ""))
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(m, F.lit(r"\E"), F.lit("")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    # a lower-cased marker can't hold the \E that would end the quotation
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), m, F.lit(r"\E(?![\p{L}\p{N}])"))
     return F.when(answer.isNull() | (m == ""), False).otherwise(F.regexp_like(answer_text(answer), quoted))
 
 
