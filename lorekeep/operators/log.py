@@ -137,6 +137,8 @@ def greedy_batches(log: DataFrame, key: list[str], most: int = 20, limit: int =
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, skip, batch, size, total = None, 0, 0, 0, 0
         for f in frames:
+            if not len(f):
+                continue
             out = []
             for k, q, t, at, n in zip(f["_key"], f["_p"], f["_t"].tolist(), f["_at"].tolist(), f["_n"].tolist()):
                 if (k, q) != here:
