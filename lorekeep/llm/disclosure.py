@@ -232,6 +232,8 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w, n in plain.items():
             lower[stem(w)] += n
         terms = {*named, *alone, *lower}
+        if not terms:
+            continue
         yield pd.DataFrame({"term": list(terms), "named": [named[t] for t in terms], "alone": [alone[t] for t in terms], "plain": [lower[t] for t in terms]})
 
 
@@ -253,7 +255,8 @@ def revealing_terms(texts: DataFrame) -> DataFrame:
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(s, n, w) for s, n, t in zip(batch["src"], batch["rec_no"], batch["text"]) if t for w in {stem(x) for x in _TOKEN.findall(t)}]
-        yield pd.DataFrame(rows, columns=["src", "rec_no", "term"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["src", "rec_no", "term"])
 
 
 def detect(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -285,6 +288,8 @@ def detect(texts: DataFrame, terms: DataFrame) -> DataFrame:
             return x
 
         for batch in batches:
+            if not len(batch):  # an empty text column can't be handed back
+                continue
             found = []
             for t, own in zip(batch["text"], batch["own"]):
                 if not t:
@@ -321,6 +326,8 @@ def p3_sanitised(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             clean = [None if t is None else sanitise(t, [(s["start"], s["stop"], s["pii_type"]) for s in spans]) for t, spans in zip(b["text"], b["spans"])]
             yield pd.DataFrame({"src": b["src"], "rec_no": b["rec_no"], "clean_text": clean})
 

@@ -82,6 +82,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, fit = None, None
         for batch in batches:
+            if not len(batch):
+                continue
             out = []
             for g, s in zip(batch["_g"].tolist(), batch["_size"].tolist()):
                 if g != group:

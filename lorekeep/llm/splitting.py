@@ -127,7 +127,8 @@ def split(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str, limit: int
                 if len(rows) > 2000:
                     yield _frame(rows, key)
                     rows = []
-            yield _frame(rows, key)
+            if rows:
+                yield _frame(rows, key)
 
     chosen = docs.select(key, text)
     kind = dict(chosen.dtypes)[key]
