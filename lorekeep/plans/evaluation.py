@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_facts
+from ..functions.prompts import batch_line
+from ..functions.text import blank_to_null, fact_line
 from ..operators import evaluate as ops
 from ..operators import log as logs
+from ..operators import providers
 from ..operators import similar
 from ..operators.sequences import looking_back, positions
 from ..shared import cut
@@ -115,6 +118,21 @@ def parse_facts_json(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("fact_no", "kind", "domain", "scope", "subject", "predicate", "object", "statement", F.array_join("evidence", ",").alias("evidence"))
 
 
+def embedding_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the facts that have none, by the offline embedder; facts without any text are left out."""
+    f = table(spark, folder, "facts").where("embedding is null")
+    line = blank_to_null(fact_line(F.col("statement"), F.col("subject_norm"), F.col("predicate_norm"), F.col("object_value")))
+    return providers.embed(f.select("fact_no", line.alias("line")).where("line is not null"), "fact_no", "line", providers.HashEmbedder(64))
+
+
+def extracted_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the offline extractor reads from the statements of facts, each as a batch of one line."""
+    f = table(spark, folder, "facts").where("statement is not null")
+    b = f.select(F.col("fact_no").alias("first_id"), batch_line(F.col("fact_no"), F.lit("user"), F.regexp_replace("statement", r"\s*[\n\r]+\s*", " ")).alias("text"))
+    e = providers.extract(b, providers.FieldExtractor())
+    return e.select("first_id", "kind", "domain", "scope", "subject", "predicate", "object", F.array_join("evidence", ",").alias("evidence"))
+
+
 def trigram_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similar predicates."""
     return similar.similar_pairs(table(spark, folder, "facts").select("predicate_norm"), 0.7).withColumn("similarity", F.round("similarity", 9))
@@ -169,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         marker_match, arm_verdicts, answer_pivot, paired_stats, lift_report, judge_overlay, span_validation, validation_histogram, latency_percentiles, parse_facts_json,
-        trigram_pairs, near_dup_top5, cosine_topk,
+        embedding_backfill, extracted_facts, trigram_pairs, near_dup_top5, cosine_topk,
     )
 }
 SQL = {

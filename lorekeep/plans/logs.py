@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.prompts import arm_prompt, batch_texts
 from ..functions.text import fingerprint, owner_of, portrait_owner, portrait_project, speaker
 from ..operators import log as ops
 from ..operators.sequences import positions
@@ -53,6 +54,20 @@ def segmented_batches(spark: SparkSession, folder: str) -> DataFrame:
     return ops.greedy_batches(seg, ["session_name", "segment"], 20, 200).join(seg.select("id", "segment"), "id")
 
 
+def batch_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of each batch as it is put to the extracting model."""
+    log = _log(spark, folder)
+    b = ops.greedy_batches(log, ["session_name"], 20, 200).join(log.select("id", "session_name", "peer_name", "content"), "id")
+    return batch_texts(b, ["session_name", "batch"]).select("first_id", "messages", "text")
+
+
+def arm_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """For each message the prompt of the arm without memory: the window before it and the message itself."""
+    log = _log(spark, folder)
+    t = ops.transcripts(log).join(log.select("id", "content"), "id")
+    return t.select("id", arm_prompt(F.col("transcript"), F.col("content")).alias("prompt"))
+
+
 def session_stats(spark: SparkSession, folder: str) -> DataFrame:
     return ops.session_stats(_log(spark, folder))
 
@@ -99,7 +114,7 @@ walk AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        message_log, log_day_slice, log_positions, window_start, prev_bound, window_transcript, greedy_batches, segmented_batches, session_stats,
+        message_log, log_day_slice, log_positions, window_start, prev_bound, window_transcript, greedy_batches, segmented_batches, batch_prompts, arm_prompts, session_stats,
         reference_answer_asof, speaker_roles, portrait_keys, message_fingerprints, material_label,
     )
 }
@@ -116,6 +131,10 @@ SQL = {
           coalesce(sum(CAST({_ROLE} = 'User' AND coalesce(regexp_matches(content, '\\?$'), false) AS INT)) OVER (PARTITION BY session_name ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM messages),
         src AS (SELECT coalesce(session_name, '<null>') || '#' || segment AS k, id, tokens FROM marked), {_BATCHES}
         SELECT w.id, CAST(batch AS BIGINT) AS batch, CAST(segment AS BIGINT) AS segment FROM walk w JOIN marked USING (id)""",
+    "batch_prompts": f"""WITH RECURSIVE src AS (SELECT coalesce(session_name, '<null>') AS k, id, CAST({_TOKENS} AS BIGINT) AS tokens FROM messages), {_BATCHES}
+        SELECT min(id) AS first_id, count(*) AS messages, string_agg('[' || id || '] ' || coalesce(peer_name, 'user') || ': ' || coalesce(content, ''), chr(10) ORDER BY id) AS text FROM walk JOIN messages USING (id) GROUP BY k, batch""",
+    "arm_prompts": f"""SELECT id, coalesce(string_agg({_ROLE} || ': ' || coalesce(content, ''), chr(10)) OVER (
+        PARTITION BY session_name ORDER BY id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') || chr(10) || 'User: ' || coalesce(content, '') AS prompt FROM messages""",
     "session_stats": f"""SELECT session_name, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens, min(id) AS first_id, max(id) AS last_id,
         min(created_at) AS first_at, max(created_at) AS last_at FROM ({_LOG}) GROUP BY session_name""",
     "reference_answer_asof": f"""SELECT id, first_value(CASE WHEN role <> 'User' THEN id END IGNORE NULLS) OVER (

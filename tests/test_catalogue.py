@@ -42,8 +42,10 @@ def test_entry_has_a_stable_schema(spark):
         assert entry.entry(spark).columns == ["snapshot_id", "fact_no"]
 
 
-def test_every_core_query_has_sql():
-    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+def test_every_core_query_has_sql_but_the_model_calls(spark):
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"embedding_backfill", "extracted_facts"}
+    if os.path.isdir(DATA):
+        assert all(catalogue.queries()[n](spark, DATA).count() for n in ("embedding_backfill", "extracted_facts"))
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
