@@ -54,9 +54,10 @@ _EN = re.compile(rf"(?<![\w./\-])(?:{_ROOM}{_S}*,{_S}*)?\d+[a-z]?{_S}+((?:[^\W\d
 _STREET_HINT = re.compile(rf"(?<!\w)(?:{_TYPE}|{_ROAD})(?!\w)", re.I)
 
 _ID_LABEL = r"(?:инн|снилс|паспорт[а-я]*|ssn|passport|inn|snils|social security(?: number| no\.?)?|tax(?:payer)? (?:id|number))"
+_J = rf"[\s{_DASH}{_Z}]{{1,3}}"  # between the parts of a number
 _ID_SHAPE = (
-    rf"\d{{2}}{_S}\d{{2}}{_S}*(?:№|n|no\.?|номер){_S}*\d{{6}}|\d{{2}}{_S}\d{{2}}{_S}\d{{6}}|\d{{4}}{_S}*(?:№|номер){_S}*\d{{6}}|\d{{4}}[\s{_DASH}]\d{{6}}"
-    rf"|\d{{3}}[\s{_DASH}]\d{{3}}[\s{_DASH}]\d{{3}}[\s{_DASH}]\d{{2}}|\d{{3}}[\s{_DASH}]\d{{2}}[\s{_DASH}]\d{{4}}|\d{{9,12}}"
+    rf"\d{{2}}{_S}{{1,3}}\d{{2}}{_S}*(?:№|n|no\.?|номер){_S}*\d{{6}}|\d{{2}}{_S}{{1,3}}\d{{2}}{_S}{{1,3}}\d{{6}}|\d{{4}}{_S}*(?:№|номер){_S}*\d{{6}}|\d{{4}}{_J}\d{{6}}"
+    rf"|\d{{3}}{_J}\d{{3}}{_J}\d{{3}}{_J}\d{{2}}|\d{{3}}{_J}\d{{2}}{_J}\d{{4}}|\d{{9,12}}"
 )
 _ID_AFTER = re.compile(rf"(?<!\w){_ID_LABEL}(?!\w)[^\d.!?\n]{{0,28}}?(?<![\w.+(])({_ID_SHAPE})(?!\w)", re.I)
 _ID_BEFORE = re.compile(rf"(?<![\w.+(])({_ID_SHAPE})(?!\w)[^\d.!?\n;]{{1,16}}?(?<!\w){_ID_LABEL}(?!\w)", re.I)
