@@ -48,3 +48,8 @@ def parse_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
         F.filter(F.transform(ids, lambda x: F.trim(x).try_cast("bigint")), lambda x: x.isNotNull()).alias("evidence"),
     )
     return out.where(blank_to_null(F.col("subject")).isNotNull() | blank_to_null(F.col("statement")).isNotNull())
+
+
+def judge_verdict(c: Column) -> Column:
+    """struct(a_pass, b_pass, reason) out of a judge's answer; null if there is no readable JSON in it."""
+    return F.from_json(json_body(c), "a_pass boolean, b_pass boolean, reason string")

@@ -101,9 +101,17 @@ def portrait_project(session: Column, project: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """h:mm:ss of whole seconds."""
+    """h:mm:ss of whole seconds; null stays null."""
     s = seconds.cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    return F.when(s.isNotNull(), F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """struct(percent, per_minute, left): whole percent, items a minute, and the time left as text; null where nothing can be said."""
+    rate = F.when((seconds > 0) & (done > 0), done / seconds)
+    return F.struct(
+        F.when(total > 0, F.floor(done * 100 / total)).alias("percent"), F.round(rate * 60, 1).alias("per_minute"), duration_text(F.floor((total - done) / rate)).alias("left")
+    )
 
 
 def cut_text(c: Column, n: int, mark: str = "…") -> Column:

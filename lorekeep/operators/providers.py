@@ -156,7 +156,13 @@ def extract(batches: DataFrame, completer: Completer, system: str = "") -> DataF
     return parse_facts(answers, "first_id", "answer")
 
 
-def stale_answers(points: DataFrame, answers: DataFrame) -> DataFrame:
-    """(point_id, arm) still to be generated: those without an answer of the point's current fingerprint."""
+def stale_answers(points: DataFrame, answers: DataFrame, most: int | None = None) -> DataFrame:
+    """(point_id, arm) still to be generated: those without an answer of the point's current fingerprint.
+
+    ``most`` limits the points worked on in one run, in order of their ids; points with both answers don't count.
+    """
     wanted = points.select("point_id", "point_fp", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("arm"))
-    return wanted.join(answers.select("point_id", "arm", "point_fp"), ["point_id", "arm", "point_fp"], "left_anti").select("point_id", "arm")
+    open_ = wanted.join(answers.select("point_id", "arm", "point_fp"), ["point_id", "arm", "point_fp"], "left_anti").select("point_id", "arm")
+    if most is None:
+        return open_
+    return open_.join(open_.select("point_id").distinct().orderBy("point_id").limit(most), "point_id", "left_semi")

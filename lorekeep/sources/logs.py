@@ -87,3 +87,13 @@ def route(spark: SparkSession, session: str, *, record_file: str | None = None,
     if jdbc:
         return messages_jdbc(spark, session=session, **jdbc)
     raise ValueError(f"no source for {session}")
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists, such as an archived file before the live one; raises if none does."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            return path
+    raise FileNotFoundError(", ".join(paths))

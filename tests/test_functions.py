@@ -100,3 +100,13 @@ def test_fingerprint_is_stable(spark):
     a = one(spark, text.fingerprint("v1", x=F.lit(1), y=F.lit(None).cast("string")))
     assert a == one(spark, text.fingerprint("v1", x=F.lit("1"), y=F.lit("")))
     assert len(a) == 64
+
+
+def test_progress(spark):
+    df = spark.createDataFrame([(50, 200, 100), (0, 10, 5), (3, 0, 0)], "d long, t long, s long").select(text.progress(F.col("d"), F.col("t"), F.col("s")).alias("p"))
+    assert [(r.p.percent, r.p.per_minute, r.p.left) for r in df.collect()] == [(25, 30.0, "0:05:00"), (0, None, None), (None, None, None)]
+
+
+def test_judge_verdict(spark):
+    df = spark.createDataFrame([('Well: {"a_pass": true, "b_pass": false, "reason": "r"} ok',), ("none",), (None,)], "t string")
+    assert [r[0] and (r[0].a_pass, r[0].b_pass, r[0].reason) for r in df.select(parsing.judge_verdict(F.col("t"))).collect()] == [(True, False, "r"), None, None]

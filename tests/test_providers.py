@@ -58,6 +58,7 @@ def test_stale_answers(spark):
     p = spark.createDataFrame([("p", "f1"), ("q", "f2")], "point_id string, point_fp string")
     a = spark.createDataFrame([("p", "a", "f1"), ("p", "b", "old"), ("q", "a", None), ("gone", "a", "f")], "point_id string, arm string, point_fp string")
     assert sorted((r.point_id, r.arm) for r in providers.stale_answers(p, a).collect()) == [("p", "b"), ("q", "a"), ("q", "b")]
+    assert [(r.point_id, r.arm) for r in providers.stale_answers(p, a, 1).collect()] == [("p", "b")]
 
 
 def test_arms_differ_in_the_digest_only(spark):

@@ -82,3 +82,10 @@ def test_session_activity(spark, tmp_path):
     q = ingest.session_activity(ingest.message_stream(spark, src)).writeStream.format("memory").queryName("activity").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.messages, r.tokens) for r in spark.table("activity").collect()) == [(1, 4), (2, 5)]
+
+
+def test_first_existing(spark, tmp_path):
+    (tmp_path / "b").write_text("x")
+    assert logs.first_existing(spark, f"{tmp_path}/a", f"{tmp_path}/b") == f"{tmp_path}/b"
+    with pytest.raises(FileNotFoundError):
+        logs.first_existing(spark, f"{tmp_path}/a")
