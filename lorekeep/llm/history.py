@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +20,7 @@ SLIPS = 2
 ROWS_PER_SHARD = 20_000
 HOT_BLOCK = 20_000
 _BASE_LEVEL = 1_000
-_SEGMENT = "tokens binary, suffixes binary, starts binary, numbers binary, records array<array<string>>"
+_SEGMENT = "vocabulary binary, ids binary, suffixes binary, starts binary, numbers binary, records binary"
 _OUT = f"kind string, shard long, number long, first long, {_SEGMENT}"
 
 
@@ -114,19 +116,28 @@ class Segment:
     hashes that hold the block, so that records of different blocks never share one.
     """
 
-    def __init__(self, tokens: np.ndarray, starts: np.ndarray, numbers: np.ndarray, records: list, suffixes: np.ndarray | None = None):
-        self.tokens, self.starts, self.numbers, self.records = tokens, starts, numbers, records
-        self.vocabulary, ids = np.unique(tokens, return_inverse=True)
-        self.ids = ids.astype(np.int64)
-        lengths = np.diff(np.append(starts, len(tokens)))
+    def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, starts: np.ndarray, numbers: np.ndarray, records: list | bytes, suffixes: np.ndarray | None = None):
+        self.vocabulary, self.ids, self.starts, self.numbers, self._records = vocabulary, ids, starts, numbers, records
+        lengths = np.diff(np.append(starts, len(ids)))
         self.owner = np.repeat(np.arange(len(starts)), lengths)
         self.ends = np.repeat(starts + lengths, lengths)
         self.suffixes = self._sort(int(lengths.max(initial=1))) if suffixes is None else suffixes
         self.bounds = np.append(0, np.cumsum(np.bincount(self.ids, minlength=len(self.vocabulary))))
 
+    @property
+    def records(self) -> list:
+        """[block, word, ...] of each record; unpacked when first asked for."""
+        if isinstance(self._records, bytes):
+            self._records = json.loads(zlib.decompress(self._records))
+        return self._records
+
+    def tokens(self, record: int) -> np.ndarray:
+        stop = self.starts[record + 1] if record + 1 < len(self.starts) else len(self.ids)
+        return self.vocabulary[self.ids[self.starts[record] : stop]]
+
     def _sort(self, longest: int) -> np.ndarray:
         """Prefix doubling; a suffix ends with its record."""
-        rank, at, k = self.ids.copy(), np.arange(len(self.ids)), 1
+        rank, at, k = self.ids.astype(np.int64), np.arange(len(self.ids)), 1
         while k < longest and len(rank):
             ahead = at + k
             nxt = np.where(ahead < self.ends, rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
@@ -160,32 +171,31 @@ class Segment:
         return bound(target), bound(target + 1)
 
     def row(self, shard: int) -> dict:
-        return {
-            "kind": "segment", "shard": shard, "number": None, "first": None, "tokens": self.tokens.tobytes(), "suffixes": self.suffixes.tobytes(),
-            "starts": self.starts.tobytes(), "numbers": self.numbers.tobytes(), "records": [list(r) for r in self.records],
-        }
+        records = zlib.compress(json.dumps(self.records, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+        packed = {n: getattr(self, n).tobytes() for n in ("vocabulary", "ids", "suffixes", "starts", "numbers")}
+        return {"kind": "segment", "shard": shard, "number": None, "first": None, **packed, "records": records}
 
     @staticmethod
     def of(row: dict) -> Segment:
         read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        return Segment(read("tokens", np.int64), read("starts", np.int64), read("numbers", np.int64), [list(r) for r in row["records"]], read("suffixes", np.int32))
+        return Segment(read("vocabulary", np.int64), read("ids", np.int32), read("starts", np.int64), read("numbers", np.int64), bytes(row["records"]), read("suffixes", np.int32))
 
     @staticmethod
     def build(numbers: np.ndarray, tokens: list, records: list) -> Segment:
         lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in tokens]) if len(tokens) else np.zeros(0, np.int64)
-        return Segment(flat, np.append(0, np.cumsum(lengths))[:-1].astype(np.int64), np.asarray(numbers, dtype=np.int64), records)
+        vocabulary, ids = np.unique(flat, return_inverse=True)
+        return Segment(vocabulary, ids.astype(np.int32), np.append(0, np.cumsum(lengths))[:-1].astype(np.int64), np.asarray(numbers, dtype=np.int64), records)
 
     @staticmethod
     def merge(parts: list[Segment]) -> Segment:
         """One segment for several; of records with equal blocks and words the smallest number stays."""
         first: dict[tuple, tuple[int, np.ndarray, list]] = {}
         for s in parts:
-            stops = np.append(s.starts, len(s.tokens))
             for k, r in enumerate(s.records):
                 key, no = tuple(r), int(s.numbers[k])
                 if key not in first or no < first[key][0]:
-                    first[key] = (no, s.tokens[stops[k] : stops[k + 1]], r)
+                    first[key] = (no, s.tokens(k), r)
         chosen = sorted(first.values(), key=lambda x: x[0])
         return Segment.build(np.array([c[0] for c in chosen]), [c[1] for c in chosen], [c[2] for c in chosen])
 
@@ -199,7 +209,7 @@ def candidates(segment: Segment, tokens: list[np.ndarray]) -> tuple[np.ndarray,
     are cut into five substrings; two can be changed and two more be broken by a changed word that
     sorts into them, so one of the five occurs in the record as it stands.
     """
-    if not tokens or not len(segment.tokens):
+    if not tokens or not len(segment.ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = np.array([len(t) - 1 for t in tokens])
     flat, begin = np.concatenate(tokens), np.append(0, np.cumsum(n + 1))[:-1]
@@ -237,7 +247,6 @@ def candidates(segment: Segment, tokens: list[np.ndarray]) -> tuple[np.ndarray,
 def _covered(segment: Segment, tokens: list[np.ndarray], q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Of each pair, whether the record covers all of the query's words but two, counted by token."""
     keep = np.zeros(len(q), bool)
-    stops = np.append(segment.starts, len(segment.tokens))
     sets: dict[int, frozenset] = {}
     mine, at = frozenset(), -1
     for k in range(len(q)):
@@ -245,7 +254,7 @@ def _covered(segment: Segment, tokens: list[np.ndarray], q: np.ndarray, r: np.nd
             at = q[k]
             mine = frozenset(tokens[at].tolist())
         if (other := sets.get(r[k])) is None:
-            other = sets[r[k]] = frozenset(segment.tokens[stops[r[k]] : stops[r[k] + 1]].tolist())
+            other = sets[r[k]] = frozenset(segment.tokens(r[k]).tolist())
         keep[k] = len(mine - other) <= SLIPS
     return keep
 
@@ -274,9 +283,9 @@ def _visit(consume_below: int):
         merged = Segment.merge([own, *due]) if due else own
         found = best < batch["number"].to_numpy(dtype=np.int64)
         rows = [{"kind": "match", "shard": shard, "number": int(a), "first": int(b)} for a, b in zip(batch["number"].to_numpy()[found], best[found])]
-        if len(merged.records):
+        if len(merged.starts):
             rows.append(merged.row(shard))
-        columns = ["kind", "shard", "number", "first", "tokens", "suffixes", "starts", "numbers", "records"]
+        columns = ["kind", "shard", "number", "first", "vocabulary", "ids", "suffixes", "starts", "numbers", "records"]
         return pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=object) for c in columns})
 
     return visit
