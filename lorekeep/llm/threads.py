@@ -17,25 +17,26 @@ def shows_nothing(text: Column) -> Column:
 
 
 def resolve(nodes: DataFrame) -> DataFrame:
-    """(node, root, depth, state) from (node, parent), by iterative pointer jumping.
+    """(node, root, depth, state) from (node, parent[, steps]), by iterative pointer jumping.
 
-    ``state`` is ``ok`` for a node whose ancestors end in a node without a parent (``depth`` 1 for
-    that root itself), ``orphan`` where they end in a parent that no row has (root: the topmost
-    existing ancestor; depth counts from it), ``cycle`` where they never end (root and depth null). ``node`` must be
-    unique and non-null; a node that is its own parent is a cycle. An empty table gives an empty result.
+    ``steps``: how far a node lies behind its parent, 1 if there is no such column. ``state`` is ``ok`` for a node
+    whose ancestors end in a node without a parent (``depth`` 1 for that root itself), ``orphan`` where they end in a
+    parent that no row has (root: the topmost existing ancestor; depth counts from it), ``cycle`` where they never end
+    (root and depth null). ``node`` must be unique and non-null; a node that is its own parent is a cycle. An empty table gives an empty result.
 
     Every open node's pointer is replaced by its target's pointer and the distances add up, so paths
     of n nodes resolve in log2(n) joins; a target that is already resolved resolves at once. Only open
     nodes are joined again, against the state of all.
     """
-    n = nodes.select(F.col("node"), F.col("parent"))
+    steps = F.col("steps") if "steps" in nodes.columns else F.lit(1)
+    n = nodes.select("node", "parent", steps.cast("long").alias("steps"))
     known = n.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
     start = n.join(known, "parent", "left")
     state = cut(
         start.select(
             "node",
             F.when(F.col("_known"), F.col("parent")).otherwise(F.col("node")).alias("up"),
-            F.when(F.col("_known"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("dist"),
+            F.when(F.col("_known"), F.col("steps")).otherwise(F.lit(0)).alias("dist"),
             F.coalesce("_known", F.lit(False)).alias("open"),
             (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("orphan"),
         )
@@ -56,19 +57,20 @@ def resolve(nodes: DataFrame) -> DataFrame:
     return ok.union(live.select("node", F.lit(None).cast(dict(nodes.dtypes)["node"]), F.lit(None).cast("long"), F.lit("cycle")))
 
 
-def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str, chunk: str = "hour") -> DataFrame:
-    """(node, parent): each row answers the row before it in its thread by (``at``, ``node``).
+def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str, chunk: str = "hour") -> tuple[DataFrame, DataFrame]:
+    """Rows that each answer the row before them in their thread by (``at``, ``node``), as (runs, rows).
 
-    The order within a thread is found per (thread, hour) and the hours of a thread are linked by their
-    last rows, so that one very long thread is sorted in many tasks.
+    ``runs``: (node, parent, steps) of the first row of each (thread, hour), its parent being the first row of the
+    hour before and ``steps`` the rows between: a chain of rows within an hour is contracted to its head, so pointers
+    are jumped over hours. ``rows``: (``node``, head, place), the place from 0 within the hour. A
+    very long thread is so sorted in many tasks.
     """
     w = Window.partitionBy(thread, "_chunk").orderBy(at, node)
-    c = rows.withColumn("_chunk", F.date_trunc(chunk, at))
-    inner = c.select(thread, "_chunk", node, F.lag(node).over(w).alias("_prev"))
-    ends = c.groupBy(thread, "_chunk").agg(F.max(F.struct(at, node))[node].alias("_last"))
+    c = rows.select(thread, node, at).withColumn("_chunk", F.date_trunc(chunk, at))
+    placed = c.select(F.col(node), F.first(node).over(w).alias("head"), (F.row_number().over(w) - 1).cast("long").alias("place"))
+    heads = c.groupBy(thread, "_chunk").agg(F.min(F.struct(at, node))[node].alias("node"), F.count("*").alias("_n"))
     over = Window.partitionBy(thread).orderBy("_chunk")
-    links = ends.select(thread, "_chunk", F.lag("_last").over(over).alias("_before"))
-    return inner.join(links, [thread, "_chunk"]).select(F.col(node).alias("node"), F.coalesce("_prev", "_before").alias("parent"))
+    return heads.select("node", F.lag("node").over(over).alias("parent"), F.coalesce(F.lag("_n").over(over), F.lit(0)).alias("steps")), placed
 
 
 def role(peer: Column) -> Column:
@@ -85,7 +87,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     and left out; of copies (session, peer, time and content, null equal to null) the smallest id
     stays; rows whose content shows nothing go. A session is kept if, ``Other`` aside, its first row
     is by ``User`` and its last by ``Assistant``. Equal times are ordered by id. Each row's parent is
-    the row before it; the pointers are resolved by pointer jumping and a row's turn is its depth.
+    the row before it; the pointers are resolved by pointer jumping, over the first rows of hours, and a row's turn is its depth.
     Orphans and cycles cannot arise from such pointers; were there any, they would be left out.
     An empty table gives an empty result; columns beyond the five used are ignored.
     """
@@ -99,8 +101,10 @@ def conversations(messages: DataFrame) -> DataFrame:
     )
     whole = kept.join(voices.where("first = 'User' and last = 'Assistant'").select("session_name"), "session_name", "left_semi")
     whole = cut(whole)
-    paths = resolve(reply_to_previous(whole, thread="session_name", node="id", at="created_at")).where("state = 'ok'")
-    return whole.join(paths.select(F.col("node").alias("id"), "depth"), "id").select("session_name", F.col("depth").alias("turn_no"), F.col("id").alias("message_id"), "speaker")
+    runs, placed = reply_to_previous(whole, thread="session_name", node="id", at="created_at")
+    paths = resolve(runs).where("state = 'ok'").select(F.col("node").alias("head"), "depth")
+    turns = placed.join(paths, "head").select("id", (F.col("depth") + F.col("place")).alias("turn_no"))
+    return whole.join(turns, "id").select("session_name", "turn_no", F.col("id").alias("message_id"), "speaker")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,6 +20,12 @@ def test_chain_tree_orphans_and_cycles(spark):
     assert len(got) == len(rows)
 
 
+def test_steps_add_up(spark):
+    rows = [(1, None, 0), (5, 1, 4), (9, 5, 4), (12, 9, 3), (30, 29, 7)]
+    got = {r.node: (r.root, r.depth, r.state) for r in threads.resolve(spark.createDataFrame(rows, "node long, parent long, steps long")).collect()}
+    assert got == {1: (1, 1, "ok"), 5: (1, 5, "ok"), 9: (1, 9, "ok"), 12: (1, 12, "ok"), 30: (30, 1, "orphan")}
+
+
 def test_no_rows(spark):
     assert threads.resolve(spark.createDataFrame([], "node long, parent long")).count() == 0
     assert threads.conversations(spark.createDataFrame([], DDL)).count() == 0
