@@ -264,7 +264,7 @@ def _visit(consume_below: int):
 
     def visit(live: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         shard = int((live if len(live) else batch)["shard"].iloc[0])
-        batch = batch.sort_values("number")
+        batch = batch.sort_values(["number", "home"], ascending=[True, False]).drop_duplicates("number")  # salts may share a shard
         records = [[b, *w] for b, w in zip(batch["block"], batch["letters"])]
         tokens = [np.asarray(t, dtype=np.int64) for t in batch["tokens"]]
         home = np.flatnonzero(batch["home"].to_numpy(dtype=bool)) if len(batch) else np.zeros(0, np.int64)
@@ -302,21 +302,23 @@ class History:
     """
 
     def __init__(self, spark: SparkSession, shards: int, hot: DataFrame):
-        self.spark, self.shards, self.hot = spark, shards, hot
+        self.spark, self.shards = spark, shards
+        self.hot = hot if hot.take(1) else None
         self.root = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
         self.live: list[tuple[str, int]] = []
         self.count = 0
         self.matches: list[str] = []
 
     def _route(self, batch: DataFrame) -> DataFrame:
+        """Each row at the shard of its block; a row of a hot block at the shards of all its salts, at home in one."""
+        columns = ["number", "block", "letters", "tokens"]
+        if self.hot is None:
+            return batch.select(F.pmod(F.xxhash64("block", F.lit(0).cast("long")), F.lit(self.shards)).alias("shard"), *columns, F.lit(True).alias("home"))
         salts = F.coalesce(F.col("salts"), F.lit(1))
         b = batch.join(self.hot, "block", "left").withColumn("_home", F.pmod(F.xxhash64("letters", "block"), salts))
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))))
         shard = F.pmod(F.xxhash64("block", "_salt"), F.lit(self.shards))
-        # salts of one block that fall into one shard are one query there
-        return b.select(shard.alias("shard"), "number", "block", "letters", "tokens", (F.col("_salt") == F.col("_home")).alias("home")).groupBy(
-            "shard", "number", "block", "letters", "tokens"
-        ).agg(F.max("home").alias("home"))
+        return b.select(shard.alias("shard"), *columns, (F.col("_salt") == F.col("_home")).alias("home"))
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: number (smallest of its equals), block, letters, tokens; one row for each distinct (block, letters)."""
@@ -394,7 +396,7 @@ def _first_of(spark: SparkSession, kept: DataFrame) -> DataFrame:
     if not kept.take(1):
         return kept.select(F.col("fact_no").alias("first_no"), "fact_no")
     total = kept.count()
-    hot = kept.groupBy("block").count().where(F.col("count") > HOT_BLOCK).select("block", F.ceil(F.col("count") / HOT_BLOCK).cast("long").alias("salts"))
+    hot = cut(kept.groupBy("block").count().where(F.col("count") > HOT_BLOCK).select("block", F.ceil(F.col("count") / HOT_BLOCK).cast("long").alias("salts")))
     history = History(spark, max(2 * spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_SHARD)), hot)
     tokens = F.concat(F.array(F.xxhash64("block")), F.transform("letters", lambda w: F.xxhash64(F.col("block"), w)))
     for number in sorted(r.batch_no for r in kept.select("batch_no").distinct().collect()):  # one value a batch
