@@ -14,53 +14,57 @@ from .encoding import Encoder, Tokenizer, corpus, encoder, word_runs
 
 LIMIT, LEAST, OVERLAP = 512, 256, 64
 _WINDOW = 4  # words under the rolling hash
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 24  # tokens; a longer word is divided
 _PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*$|\r\n\r\n\s*$")
 _SENTENCE = regex.compile(r"[.!?…;:]+[\"'»”)\]]*$")
 
 
-def _units(text: str, e: Encoder) -> tuple[list[str], np.ndarray]:
-    """The words of a text, very long ones divided, and the number of tokens of each."""
-    words = [w for _, run in word_runs([text]) for w in run]
-    memo = e.learn(set(words))
-    units, sizes, parts = [], [], {}
-    for w in words:
-        if (n := len(memo[w])) <= _LONG:
+def _divide(words: list[str], sizes: list[int], e: Encoder) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words with very long ones divided: units, their numbers of tokens, and how many divided ones come before each."""
+    if max(sizes) <= _LONG:
+        return words, np.array(sizes, np.int64), np.zeros(len(words) + 1, np.int64)
+    units, out, part, known = [], [], [], {}
+    for w, n in zip(words, sizes):
+        if n <= _LONG:
             units.append(w)
-            sizes.append(n)
+            out.append(n)
+            part.append(0)
         else:
             cut = [w[k : k + _LONG] for k in range(0, len(w), _LONG)]
-            missing = {p for p in cut if p not in parts}
-            parts.update(zip(missing, (len(x) for x in map(e._merge, (p.encode("utf-8", "replace") for p in missing)))))
+            for p in cut:
+                if p not in known:
+                    known[p] = len(e._merge(p.encode("utf-8", "replace")))
             units += cut
-            sizes += [parts[p] for p in cut]
-    return units, np.array(sizes, np.int64)
+            out += [known[p] for p in cut]
+            part += [1] * len(cut)
+    return units, np.array(out, np.int64), np.append(0, np.cumsum(part))
 
 
-def _strength(units: list[str]) -> np.ndarray:
-    """Of the place before each unit, and the end: 4 paragraph, 3 line, 2 sentence, 1 white space, 0 inside a word or right before punctuation."""
-    rank = np.zeros(len(units) + 1, np.int64)
-    for k in range(1, len(units)):
+def _strength(units: list[str], low: int, high: int) -> np.ndarray:
+    """Of the places before units ``low`` to ``high``: 4 paragraph, 3 line, 2 sentence, 1 white space, 0 inside a word or right before punctuation."""
+    rank = np.zeros(high - low + 1, np.int64)
+    for k in range(low, high + 1):
         before, here = units[k - 1], units[k]
-        if here[0].isspace():
-            rank[k] = 2 if _SENTENCE.search(before) else 1
-        if before.isspace():
-            rank[k] = max(rank[k], 1)
         if "\n" in before or "\r" in before:
-            rank[k] = 4 if _PARAGRAPH.search(before) or (k > 1 and "\n" in units[k - 2] and before.isspace()) else 3
-    rank[-1] = 5
+            rank[k - low] = 4 if _PARAGRAPH.search(before) or (k > 1 and "\n" in units[k - 2] and before.isspace()) else 3
+        elif here[0].isspace():
+            rank[k - low] = 2 if _SENTENCE.search(before) else 1
+        elif before.isspace():
+            rank[k - low] = 1
     return rank
 
 
-def _landmarks(units: list[str]) -> np.ndarray:
-    """A rolling hash of the words before each place; it depends on them alone."""
-    h = np.array([crc32(u.encode("utf-8", "replace")) for u in units], np.uint64)
-    mix, out = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(units) + 1, np.uint64)
+def _landmarks(units: list[str], low: int, high: int) -> np.ndarray:
+    """A rolling hash of the words before each of the places ``low`` to ``high``; it depends on them alone."""
+    first = max(0, low - _WINDOW)
+    h = np.array([crc32(u.encode("utf-8", "replace")) for u in units[first:high]], np.uint64)
+    out, at = np.zeros(high - low + 1, np.uint64), np.arange(low, high + 1) - first
     for back in range(1, _WINDOW + 1):
-        if len(h) >= back:
-            out[back:] += h[: len(h) - back + 1] * (mix ** np.uint64(back))
+        ok = at >= back
+        out[ok] += h[at[ok] - back] * (_MIX ** np.uint64(back))
     out ^= out >> np.uint64(29)
-    return out * mix
+    return out * _MIX
 
 
 def split_text(text: str, e: Encoder, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -73,14 +77,25 @@ def split_text(text: str, e: Encoder, limit: int = LIMIT, least: int = LEAST, ov
     landmark itself, inside the long word. Landmarks depend on nearby words only, so an edit moves
     the cuts next to it and later ones fall into place again.
     """
-    units, sizes = _units(text, e)
-    total = np.append(0, np.cumsum(sizes))
-    whole = int(total[-1])
-    if whole <= limit:
+    words = [w for _, run in word_runs([text]) for w in run]
+    memo = e.learn(set(words))
+    sizes = [len(memo[w]) for w in words]
+    if (whole := sum(sizes)) <= limit:
         return [(0, len(text), whole, 0)]
+    units, sizes, divided = _divide(words, sizes, e)
+    total = np.append(0, np.cumsum(sizes))
     place = np.append(0, np.cumsum([len(u) for u in units]))
-    strength, marks = _strength(units), _landmarks(units)
-    count = lambda a, b: len(e.encode([text[place[a] : place[b]]])[0])
+
+    def count(a: int, b: int) -> int:
+        """Tokens of the units a to b as a text by itself. It splits into the same words up to the white space at its end,
+        which is no longer followed by a word; divided words may merge, so then all is encoded."""
+        tail = b
+        if divided[a] != divided[b]:
+            tail = a
+        while tail > a and units[tail - 1].isspace():
+            tail -= 1
+        return int(total[tail] - total[a]) + (len(e.encode([text[place[tail] : place[b]]])[0]) if tail < b else 0)
+
     pieces, start, end, shared = [], 0, 0, 0
     while end < len(units):
         high = int(np.searchsorted(total, total[start] + limit, "right")) - 1
@@ -89,18 +104,16 @@ def split_text(text: str, e: Encoder, limit: int = LIMIT, least: int = LEAST, ov
         else:
             low = max(int(np.searchsorted(total, total[start] + least)), end + 1)
             low = min(low, high)
-            mark = low + int(np.argmin(marks[low : high + 1]))
-            best = strength[low : high + 1].max()
-            near = low + np.flatnonzero(strength[low : high + 1] == best)
+            mark = low + int(np.argmin(_landmarks(units, low, high)))
+            strength = _strength(units, low, high)
+            near = low + np.flatnonzero(strength == strength.max())
             stop = int(near[np.argmin(np.abs(total[near] - total[mark]))])
         stop = max(stop, end + 1)
         while (n := count(start, stop)) > limit and stop > end + 1:
             stop -= 1
         pieces.append((int(place[start]), int(place[stop]), n, shared))
-        end = stop
-        start = int(np.searchsorted(total, total[end] - overlap, "right")) - 1
-        begun = int(np.searchsorted(place, pieces[-1][0], "left"))
-        start = max(start, begun + 1)
+        end, begun = stop, start
+        start = max(int(np.searchsorted(total, total[end] - overlap, "right")) - 1, begun + 1)
         while (shared := count(start, end)) < overlap and start > begun + 1:  # divided words take fewer tokens together
             start -= 1
     return pieces
