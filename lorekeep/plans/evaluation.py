@@ -72,7 +72,7 @@ def paired_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def lift_report(spark: SparkSession, folder: str) -> DataFrame:
     """The paired report per calendar month."""
-    m = table(spark, folder, "messages").select(F.col("id").alias("point_id"), F.date_trunc("month", "created_at").alias("month"))
+    m = table(spark, folder, "messages").select(F.col("id").alias("point_id"), F.date_trunc("month", "created_at").cast("timestamp_ntz").alias("month"))
     r = ops.report(_verdicts(spark, folder).join(m, "point_id"), ["month"])
     return r.withColumns({"lift": F.round("lift", 9), "p_value": F.round("p_value", 9)})
 
@@ -139,8 +139,8 @@ def trigram_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_top5(spark: SparkSession, folder: str) -> DataFrame:
-    """For each nation its five most similarly written other ones."""
-    return similar.near_duplicates(table(spark, folder, "nation").select("n_name"), 0.3).withColumn("similarity", F.round("similarity", 9))
+    """For each predicate its five most similarly written other ones."""
+    return similar.near_duplicates(table(spark, folder, "facts").select("predicate_norm"), 0.6).withColumn("similarity", F.round("similarity", 9))
 
 
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +207,7 @@ SQL = {
     "parse_facts_json": r"""SELECT fact_no, kind, fact_domain AS domain, scope, subject_norm AS subject, predicate_norm AS predicate, object_value AS object, statement, coalesce(array_to_string(evidence, ','), '') AS evidence
       FROM facts WHERE regexp_replace(coalesce(subject_norm, ''), '[\x00-\x20]+', '', 'g') <> '' OR regexp_replace(coalesce(statement, ''), '[\x00-\x20]+', '', 'g') <> ''""",
     "trigram_pairs": _pairs("predicate_norm", "facts", 0.7) + " SELECT a, b, round(similarity, 9) AS similarity FROM pairs",
-    "near_dup_top5": _pairs("n_name", "nation", 0.3) + """, two AS (SELECT a AS value, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)
+    "near_dup_top5": _pairs("predicate_norm", "facts", 0.6) + """, two AS (SELECT a AS value, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)
       SELECT value, other, round(similarity, 9) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY similarity DESC, other) AS place FROM two) WHERE place <= 5""",
     "cosine_topk": """SELECT query_id, vec_id, round(c, 6) AS cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS place FROM (
       SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id
