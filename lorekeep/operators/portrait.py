@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,33 @@ def section() -> Column:
     return F.when(is_critical(), "critical").when(F.col("fact_domain") == "PSYCHE", "preferences").otherwise("constructs")
 
 
-def ranked(facts: DataFrame, most: int = 40, width: int = 200) -> DataFrame:
-    """(owner_id, project_id, section, place, fact_no, line): the first ``most`` facts of each portrait section.
+def ranked(facts: DataFrame, most: int | None = None, width: int | None = None) -> DataFrame:
+    """(owner_id, project_id, section, place, fact_no, line): every fact in its place of its portrait section, with its whole line.
 
-    Order: reinforcement descending, created_at ascending, fact_no; lines are cut to ``width`` characters. The
-    limit is the portrait's own; it reaches the ranking before the shuffle, so a hot owner sends ``most`` rows per task.
+    Order: reinforcement descending, created_at ascending, fact_no. Sections are ranked within hours of one reinforcement
+    and offset by counts, so a hot owner isn't one task. ``most`` keeps only the first facts of each section; it reaches
+    the ranking before the shuffle, so a hot owner sends ``most`` rows per task. ``width`` cuts the lines.
     """
-    f = facts.select("owner_id", "project_id", section().alias("section"), "fact_no", "reinforcement_count", "created_at", F.left(fact_line(F.col("statement"), F.col("subject_norm"), F.col("predicate_norm"), F.col("object_value")), F.lit(width)).alias("line"))
-    w = Window.partitionBy("owner_id", "project_id", "section").orderBy(F.desc_nulls_last("reinforcement_count"), F.asc_nulls_last("created_at"), "fact_no")
-    return f.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("owner_id", "project_id", "section", "place", "fact_no", "line")
+    line = fact_line(F.col("statement"), F.col("subject_norm"), F.col("predicate_norm"), F.col("object_value"))
+    f = facts.select("owner_id", "project_id", section().alias("section"), "fact_no", "reinforcement_count", "created_at", (line if width is None else F.left(line, F.lit(width))).alias("line"))
+    out = ["owner_id", "project_id", "section", "place", "fact_no", "line"]
+    key = ["owner_id", "project_id", "section"]
+    if most is not None:
+        w = Window.partitionBy(*key).orderBy(F.desc_nulls_last("reinforcement_count"), F.asc_nulls_last("created_at"), "fact_no")
+        return f.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(*out)
+    piece = [*key, "reinforcement_count", "_hour"]
+    c = f.withColumn("_hour", F.date_trunc("hour", "created_at"))
+    inner = c.withColumn("_r", F.row_number().over(Window.partitionBy(*piece).orderBy("created_at", "fact_no")))
+    before = Window.partitionBy(*key).orderBy(F.desc_nulls_last("reinforcement_count"), F.asc_nulls_last("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = c.groupBy(*piece).agg(F.count("*").alias("_n")).select(*piece, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    a, b = inner.alias("a"), offsets.alias("b")
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in piece])
+    return a.join(b, on).select("a.*", (F.col("_r") + F.col("_o")).cast("int").alias("place")).select(*out)
 
 
 def digests(facts: DataFrame, most: int = 3) -> DataFrame:
     """(owner_id, project_id, digest): sections in their order, each with its first lines; empty sections are left out."""
-    top = ranked(facts, most).where(blank_to_null(F.col("line")).isNotNull())
+    top = ranked(facts, most, 200).where(blank_to_null(F.col("line")).isNotNull())
     order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
     s = top.groupBy("owner_id", "project_id", "section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("_l"))
     text = F.concat(F.lit("["), F.col("section"), F.lit("]\n"), F.array_join(F.transform("_l", lambda x: F.concat(F.lit("- "), x["line"])), "\n"))

@@ -18,10 +18,16 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "facts")
 
 
-def portrait_sections(spark: SparkSession, folder: str) -> DataFrame:
+def portrait_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fact in its place of its portrait, with its whole line."""
     return ops.ranked(_facts(spark, folder))
 
 
+def portrait_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 40 lines of each section of ``portrait_whole``, cut to 200 characters."""
+    return ops.ranked(_facts(spark, folder), 40, 200)
+
+
 def digest_text(spark: SparkSession, folder: str) -> DataFrame:
     return ops.digests(_facts(spark, folder))
 
@@ -36,7 +42,12 @@ def facts_as_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def portrait_as_of(spark: SparkSession, folder: str) -> DataFrame:
-    """The ranked portrait from the facts as they were at the bound."""
+    """The first 40 places of each section of ``portrait_whole_as_of``."""
+    return ops.ranked(ops.at_bound(_facts(spark, folder), BOUND), 40).select("owner_id", "project_id", "section", "place", "fact_no")
+
+
+def portrait_whole_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ranked portrait from the facts as they were at the bound."""
     return ops.ranked(ops.at_bound(_facts(spark, folder), BOUND)).select("owner_id", "project_id", "section", "place", "fact_no")
 
 
@@ -84,7 +95,8 @@ def answer_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BLANK = lambda c: rf"CASE WHEN regexp_replace({c}, '[\x00-\x20]+', '', 'g') <> '' THEN {c} END"
-_LINE = f"left(coalesce({_BLANK('statement')}, concat_ws(' · ', {_BLANK('subject_norm')}, {_BLANK('predicate_norm')}, {_BLANK('object_value')})), 200)"
+_WHOLE = f"coalesce({_BLANK('statement')}, concat_ws(' · ', {_BLANK('subject_norm')}, {_BLANK('predicate_norm')}, {_BLANK('object_value')}))"
+_LINE = f"left({_WHOLE}, 200)"
 _P, _S = "lower(coalesce(predicate_norm, ''))", "lower(coalesce(statement, ''))"
 _CRITICAL = (
     f"(list_has_any(map_keys(coalesce(conditions, MAP {{}})), ['organization', 'project_type']) OR {' OR '.join(f'contains({_P}, {chr(39)}{x}{chr(39)})' for x in ops.CRITICAL_PREDICATES)}"
@@ -99,6 +111,11 @@ def _ranked(source: str, most: int = 40) -> str:
         FROM (SELECT *, {_SECTION} AS section, {_LINE} AS line FROM {source})) WHERE place <= {most}"""
 
 
+def _whole(source: str) -> str:
+    return f"""SELECT owner_id, project_id, section, row_number() OVER (PARTITION BY owner_id, project_id, section
+        ORDER BY reinforcement_count DESC NULLS LAST, created_at ASC NULLS LAST, fact_no) AS place, fact_no, line FROM (SELECT *, {_SECTION} AS section, {_WHOLE} AS line FROM {source})"""
+
+
 def _at(bound: int) -> str:
     return f"(SELECT * REPLACE (kept AS evidence, least(len(kept), reinforcement_count)::INT AS reinforcement_count) FROM (SELECT *, list_filter(evidence, lambda e: e <= {bound}) AS kept FROM facts) WHERE len(kept) > 0)"
 
@@ -113,11 +130,12 @@ _TEXT = f"lower(regexp_replace(concat_ws(' ', {', '.join(_BLANK(c) for c in ('su
 QUERIES = {
     f.__name__: f
     for f in (
-        portrait_sections, digest_text, portrait_cutoff, facts_as_of, portrait_as_of, portrait_diff, stale_portraits, portrait_items, item_evidence, latest_portraits,
+        portrait_whole, portrait_sections, digest_text, portrait_cutoff, facts_as_of, portrait_as_of, portrait_whole_as_of, portrait_diff, stale_portraits, portrait_items, item_evidence, latest_portraits,
         build_delays, provenance_verdict, provenance_histogram, answer_coverage,
     )
 }
 SQL = {
+    "portrait_whole": _whole("facts"),
     "portrait_sections": _ranked("facts"),
     "digest_text": f"""WITH t AS ({_ranked('facts', 3)}), s AS (SELECT owner_id, project_id, section, '[' || section || ']' || chr(10) || string_agg('- ' || line, chr(10) ORDER BY place) AS t
         FROM t WHERE regexp_replace(line, '[\\x00-\\x20]+', '', 'g') <> '' GROUP BY owner_id, project_id, section)
@@ -125,6 +143,7 @@ SQL = {
     "portrait_cutoff": "SELECT owner_id, project_id, max(created_at) AS cutoff FROM facts GROUP BY ALL",
     "facts_as_of": f"SELECT fact_no, reinforcement_count, array_to_string(evidence, ',') AS evidence FROM {_at(BOUND)}",
     "portrait_as_of": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_ranked(_at(BOUND))})",
+    "portrait_whole_as_of": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_whole(_at(BOUND))})",
     "portrait_diff": f"SELECT fact_no, owner_id FROM {_at(BOUND)} WHERE fact_no NOT IN (SELECT fact_no FROM {_at(EARLIER)})",
     "stale_portraits": """SELECT snapshot_id FROM portrait_snapshots s JOIN (SELECT owner_id, coalesce(project_id, '') AS p, max(created_at) AS m FROM facts GROUP BY ALL) f
         ON f.owner_id = s.owner_id AND f.p = coalesce(s.project_id, '') WHERE m > cutoff""",

@@ -145,6 +145,18 @@ def test_sections_and_digest(spark):
     assert portrait.digests(df, 2).first().digest == "[critical]\n- crit\n[constructs]\n- three\n- two\n[preferences]\n- pref"
 
 
+def test_portrait_keeps_every_fact_with_its_whole_line(spark):
+    rng = random.Random(6)
+    hot = [fact(n, rc=rng.choice([1, 2, None]), day=rng.choice([0, 0, 0.01, 1, 2, 30]), statement=f"{n} " * 90, owner=rng.choice(["o", None])) for n in range(1, 200)]
+    hot = [r if n % 9 else (*r[:-1], None) for n, r in enumerate(hot)]
+    got = {r.fact_no: (r.owner_id, r.place, r.line) for r in portrait.ranked(spark.createDataFrame(hot, FACT)).collect()}
+    wanted = {}
+    for owner in ("o", None):
+        mine = sorted((r for r in hot if r[2] == owner), key=lambda r: (-(r[14] or 0), r[15] or dt.datetime.max, r[0]))
+        wanted |= {r[0]: (owner, place, r[11]) for place, r in enumerate(mine, 1)}
+    assert got == wanted
+
+
 def test_items_keep_json_null_null(spark):
     df = spark.createDataFrame([(1, '{"critical":[{"id":"a","subject":null}],"constructs":[{"id":"b","subject":"s"}]}'), (2, None), (3, "broken")], "snapshot_id long, snapshot string")
     assert [(r.section, r.place, r.id, r.subject) for r in portrait.items(df).orderBy("id").collect()] == [("critical", 1, "a", None), ("constructs", 1, "b", "s")]
