@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import cosine
 from ..functions.text import blank_to_null, fact_line
 
 # What makes a fact critical.
@@ -31,16 +32,16 @@ def section() -> Column:
     return F.when(is_critical(), "critical").when(F.col("fact_domain") == "PSYCHE", "preferences").otherwise("constructs")
 
 
-def ranked(facts: DataFrame, most: int | None = None, width: int | None = None) -> DataFrame:
-    """(owner_id, project_id, section, place, fact_no, line): every fact in its place of its portrait section, with its whole line.
+def ranked(facts: DataFrame, most: int | None = None, width: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(owner_id, project_id, section, place, fact_no, line, ``also``): every fact in its place of its portrait section, with its whole line.
 
     Order: reinforcement descending, created_at ascending, fact_no. Sections are ranked within hours of one reinforcement
     and offset by counts, so a hot owner isn't one task. ``most`` keeps only the first facts of each section; it reaches
     the ranking before the shuffle, so a hot owner sends ``most`` rows per task. ``width`` cuts the lines.
     """
     line = fact_line(F.col("statement"), F.col("subject_norm"), F.col("predicate_norm"), F.col("object_value"))
-    f = facts.select("owner_id", "project_id", section().alias("section"), "fact_no", "reinforcement_count", "created_at", (line if width is None else F.left(line, F.lit(width))).alias("line"))
-    out = ["owner_id", "project_id", "section", "place", "fact_no", "line"]
+    f = facts.select("owner_id", "project_id", section().alias("section"), "fact_no", "reinforcement_count", "created_at", (line if width is None else F.left(line, F.lit(width))).alias("line"), *[F.col(c).alias(f"_also_{c}") for c in also])
+    out = ["owner_id", "project_id", "section", "place", "fact_no", "line", *[F.col(f"_also_{c}").alias(c) for c in also]]
     key = ["owner_id", "project_id", "section"]
     if most is not None:
         w = Window.partitionBy(*key).orderBy(F.desc_nulls_last("reinforcement_count"), F.asc_nulls_last("created_at"), "fact_no")
@@ -55,14 +56,52 @@ def ranked(facts: DataFrame, most: int | None = None, width: int | None = None)
     return a.join(b, on).select("a.*", (F.col("_r") + F.col("_o")).cast("int").alias("place")).select(*out)
 
 
-def digests(facts: DataFrame, most: int = 3) -> DataFrame:
-    """(owner_id, project_id, digest): sections in their order, each with its first lines; empty sections are left out."""
-    top = ranked(facts, most, 200).where(blank_to_null(F.col("line")).isNotNull())
+def _rendered(rows: DataFrame, key: list[str], rank: str) -> DataFrame:
+    """(``key``, digest) of rows with section, ``rank`` and line: sections in their order, their lines by rank; empty ones are left out."""
     order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
-    s = top.groupBy("owner_id", "project_id", "section").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("_l"))
+    s = rows.groupBy(*key, "section").agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("place"), "line"))).alias("_l"))
     text = F.concat(F.lit("["), F.col("section"), F.lit("]\n"), F.array_join(F.transform("_l", lambda x: F.concat(F.lit("- "), x["line"])), "\n"))
-    p = s.groupBy("owner_id", "project_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))).alias("_s"))
-    return p.select("owner_id", "project_id", F.array_join(F.transform("_s", lambda x: x["t"]), "\n").alias("digest"))
+    p = s.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))).alias("_s"))
+    return p.select(*key, F.array_join(F.transform("_s", lambda x: x["t"]), "\n").alias("digest"))
+
+
+def digests(facts: DataFrame, most: int | None = None, width: int | None = None) -> DataFrame:
+    """(owner_id, project_id, digest): the whole portrait as text, in its order; the mode without a trigger.
+
+    ``most`` keeps only the first lines of each section, ``width`` cuts them.
+    """
+    return _rendered(ranked(facts, most, width).where(blank_to_null(F.col("line")).isNotNull()), ["owner_id", "project_id"], "place")
+
+
+def selected_digests(items: DataFrame, triggers: DataFrame, vectors: DataFrame, key: list[str], most: int = 50) -> DataFrame:
+    """(``key``, digest) for each trigger: the ``most`` items of its portrait that are nearest to it, over all sections.
+
+    ``items`` has the key, section, place, id, line, reinforcement_count and created_at of whole portraits, ``triggers``
+    the key and trigger (one row each), ``vectors`` id and vector (one row each). Order: cosine to the trigger descending,
+    reinforcement descending (null is 0), created_at ascending (null first), then the place in the portrait. A null trigger
+    (where ``Settings.selects`` is false) gives the whole portrait in its order; without items a digest is empty.
+
+    An item with a blank line takes no part. One without an id raises an error, as does one that is to be compared but
+    has no vector, one of another length, or a zero vector: nothing drops out of a selection silently. Null keys are one key.
+    """
+    if most < 1:
+        raise ValueError(f"a digest needs at least one item, got {most}")
+    has_id = F.when(blank_to_null(F.col("id")).isNull(), F.raise_error(F.lit("portrait item without an id")).cast("boolean")).otherwise(True)
+    i = items.where(blank_to_null(F.col("line")).isNotNull()).where(has_id)
+    t, n = triggers.select(*key, "trigger"), [f"_k{k}" for k in range(len(key))]
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(key, n)])
+    o = t.select(*[F.col(k).alias(x) for k, x in zip(key, n)], "trigger")
+    met = i.join(o, on).drop(*n)
+    compared = met.where("trigger is not null").join(vectors.select(F.col("id").alias("_id"), F.col("vector").alias("_v")), F.col("id") == F.col("_id"), "left")
+    score = F.when(F.col("_v").isNull(), F.raise_error(F.concat(F.lit("portrait item without a vector: "), F.col("id"))).cast("double")).otherwise(cosine(F.col("_v"), F.col("trigger")))
+    order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
+    by = [F.desc("_score"), F.desc("_n"), F.asc_nulls_first("created_at"), "_o", "place"]
+    c = compared.select(*key, "section", "place", "line", "created_at", score.alias("_score"), F.coalesce("reinforcement_count", F.lit(0)).alias("_n"), order.alias("_o"))
+    top = c.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where(F.col("_rank") <= most)
+    every = met.where("trigger is null").select(*key, "section", F.col("place").alias("_rank"), "line")
+    d = _rendered(top.select(*key, "section", "_rank", "line").union(every), key, "_rank")
+    d = d.select(*[F.col(k).alias(x) for k, x in zip(key, n)], F.regexp_replace("digest", r"\s+$", "").alias("digest"))
+    return t.join(d, on, "left").select(*key, F.coalesce("digest", F.lit("")).alias("digest"))
 
 
 def cutoffs(facts: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import duration_text
 from ..operators import portrait as ops
 from ..operators.lifecycle import latest
+from ..settings import Settings
 from ..sources.tables import table
 
 BOUND, EARLIER = 10_000, 5_000  # message ids
 MUST = ["prod", "postgres"]
+DIGEST_TOP = Settings().digest_top
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,9 +31,29 @@ def portrait_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digest_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The first three lines of each section, cut to 200 characters."""
+    return ops.digests(_facts(spark, folder), 3, 200)
+
+
+def digest_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Each whole portrait as text."""
     return ops.digests(_facts(spark, folder))
 
 
+def digest_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each whole portrait the facts nearest to its newest one, which is its trigger.
+
+    Most facts have no vector of their own yet; the vectors of ``embeddings`` stand in for all of them, by fact_no in turn.
+    """
+    f, e = _facts(spark, folder), table(spark, folder, "embeddings")
+    n = e.count()
+    v = f.select("id", "fact_no", (F.col("fact_no") % n).alias("vec_id")).join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")), "vec_id")
+    newest = f.groupBy("owner_id", "project_id").agg(F.max("fact_no").alias("fact_no"))
+    triggers = newest.join(v.select("fact_no", F.col("vector").alias("trigger")), "fact_no", "left")
+    items = ops.ranked(f, also=("id", "reinforcement_count", "created_at"))
+    return ops.selected_digests(items, triggers, v, ["owner_id", "project_id"], DIGEST_TOP)
+
+
 def portrait_cutoff(spark: SparkSession, folder: str) -> DataFrame:
     return ops.cutoffs(_facts(spark, folder))
 
@@ -116,6 +138,11 @@ def _whole(source: str) -> str:
         ORDER BY reinforcement_count DESC NULLS LAST, created_at ASC NULLS LAST, fact_no) AS place, fact_no, line FROM (SELECT *, {_SECTION} AS section, {_WHOLE} AS line FROM {source})"""
 
 
+_JOINED = """SELECT owner_id, project_id, string_agg(t, chr(10) ORDER BY list_position(['critical', 'constructs', 'preferences'], section)) AS digest FROM (
+    SELECT owner_id, project_id, section, '[' || section || ']' || chr(10) || string_agg('- ' || line, chr(10) ORDER BY place) AS t FROM t GROUP BY owner_id, project_id, section) GROUP BY owner_id, project_id"""
+_LINED = r"regexp_replace(line, '[\x00-\x20]+', '', 'g') <> ''"
+
+
 def _at(bound: int) -> str:
     return f"(SELECT * REPLACE (kept AS evidence, least(len(kept), reinforcement_count)::INT AS reinforcement_count) FROM (SELECT *, list_filter(evidence, lambda e: e <= {bound}) AS kept FROM facts) WHERE len(kept) > 0)"
 
@@ -130,7 +157,7 @@ _TEXT = f"lower(regexp_replace(concat_ws(' ', {', '.join(_BLANK(c) for c in ('su
 QUERIES = {
     f.__name__: f
     for f in (
-        portrait_whole, portrait_sections, digest_text, portrait_cutoff, facts_as_of, portrait_as_of, portrait_whole_as_of, portrait_diff, stale_portraits, portrait_items, item_evidence, latest_portraits,
+        portrait_whole, portrait_sections, digest_text, digest_whole, digest_selected, portrait_cutoff, facts_as_of, portrait_as_of, portrait_whole_as_of, portrait_diff, stale_portraits, portrait_items, item_evidence, latest_portraits,
         build_delays, provenance_verdict, provenance_histogram, answer_coverage,
     )
 }
@@ -140,6 +167,15 @@ SQL = {
     "digest_text": f"""WITH t AS ({_ranked('facts', 3)}), s AS (SELECT owner_id, project_id, section, '[' || section || ']' || chr(10) || string_agg('- ' || line, chr(10) ORDER BY place) AS t
         FROM t WHERE regexp_replace(line, '[\\x00-\\x20]+', '', 'g') <> '' GROUP BY owner_id, project_id, section)
         SELECT owner_id, project_id, string_agg(t, chr(10) ORDER BY list_position(['critical', 'constructs', 'preferences'], section)) AS digest FROM s GROUP BY owner_id, project_id""",
+    "digest_whole": f"WITH t AS (SELECT * FROM ({_whole('facts')}) WHERE {_LINED}) {_JOINED}",
+    "digest_selected": f"""WITH v AS (SELECT f.fact_no, f.reinforcement_count, f.created_at, e.embedding::DOUBLE[] AS vector FROM facts f JOIN embeddings e ON e.vec_id = f.fact_no % (SELECT count(*) FROM embeddings)),
+        n AS (SELECT owner_id, project_id, max(fact_no) AS newest FROM facts GROUP BY ALL),
+        r AS (SELECT * FROM ({_whole('facts')}) WHERE {_LINED}),
+        t AS (SELECT * FROM (SELECT r.owner_id, r.project_id, section, line, row_number() OVER (PARTITION BY r.owner_id, r.project_id ORDER BY list_cosine_similarity(v.vector, g.vector) DESC,
+            coalesce(v.reinforcement_count, 0) DESC, v.created_at ASC NULLS FIRST, list_position(['critical', 'constructs', 'preferences'], section), r.place) AS place
+            FROM r JOIN v USING (fact_no) JOIN n ON n.owner_id IS NOT DISTINCT FROM r.owner_id AND n.project_id IS NOT DISTINCT FROM r.project_id JOIN v g ON g.fact_no = n.newest) WHERE place <= {DIGEST_TOP}),
+        d AS ({_JOINED})
+        SELECT n.owner_id, n.project_id, regexp_replace(coalesce(digest, ''), '[ \\t\\n\\x0B\\f\\r]+$', '') AS digest FROM n LEFT JOIN d ON d.owner_id IS NOT DISTINCT FROM n.owner_id AND d.project_id IS NOT DISTINCT FROM n.project_id""",
     "portrait_cutoff": "SELECT owner_id, project_id, max(created_at) AS cutoff FROM facts GROUP BY ALL",
     "facts_as_of": f"SELECT fact_no, reinforcement_count, array_to_string(evidence, ',') AS evidence FROM {_at(BOUND)}",
     "portrait_as_of": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_ranked(_at(BOUND))})",

@@ -157,6 +157,28 @@ def test_portrait_keeps_every_fact_with_its_whole_line(spark):
     assert got == wanted
 
 
+def test_digest_selects_by_similarity_over_all_sections(spark):
+    rows = [("p", "constructs", 1, "a", "far", 9, T0), ("p", "constructs", 2, "b", "near", 1, T0), ("p", "constructs", 3, "c", "tie late", 2, T0), ("p", "preferences", 1, "d", "tie early", 2, None), ("p", "critical", 1, "e", " ", 1, T0), ("q", "constructs", 1, "f", "only", 1, T0)]
+    items = spark.createDataFrame(rows, "k string, section string, place int, id string, line string, reinforcement_count int, created_at timestamp_ntz")
+    vectors = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [1.0, 0.0]), ("c", [1.0, 1.0]), ("d", [1.0, 1.0])], "id string, vector array<double>")
+    triggers = lambda *t: spark.createDataFrame(t, "k string, trigger array<double>")
+    digest = lambda t, most=50, v=vectors: {r.k: r.digest for r in portrait.selected_digests(items, triggers(*t), v, ["k"], most).collect()}
+    assert digest([("p", [2.0, 0.0])], 2) == {"p": "[constructs]\n- near\n[preferences]\n- tie early"}
+    assert digest([("p", [2.0, 0.0])], 3) == {"p": "[constructs]\n- near\n- tie late\n[preferences]\n- tie early"}
+    assert digest([("p", None), ("q", None), ("none", [1.0, 0.0])], 1) == {"p": "[constructs]\n- far\n- near\n- tie late\n[preferences]\n- tie early", "q": "[constructs]\n- only", "none": ""}
+    with pytest.raises(Exception, match="without a vector: f"):
+        digest([("q", [1.0, 0.0])])
+    with pytest.raises(Exception, match="without an id"):
+        portrait.selected_digests(items.withColumn("id", F.lit("")), triggers(("p", None)), vectors, ["k"]).collect()
+    with pytest.raises(ValueError, match="at least one"):
+        digest([("p", None)], 0)
+
+
+def test_digest_without_a_trigger_is_the_whole_portrait(spark):
+    rows = [fact(n, statement=f"line {n} " + "x" * 250, day=n) for n in range(1, 60)]
+    assert portrait.digests(spark.createDataFrame(rows, FACT)).first().digest == "\n".join(["[constructs]", *[f"- {r[11]}" for r in rows]])
+
+
 def test_items_keep_json_null_null(spark):
     df = spark.createDataFrame([(1, '{"critical":[{"id":"a","subject":null}],"constructs":[{"id":"b","subject":"s"}]}'), (2, None), (3, "broken")], "snapshot_id long, snapshot string")
     assert [(r.section, r.place, r.id, r.subject) for r in portrait.items(df).orderBy("id").collect()] == [("critical", 1, "a", None), ("constructs", 1, "b", "s")]
