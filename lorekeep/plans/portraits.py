@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duration_text
 from ..operators import portrait as ops
+from ..operators.evaluate import order_statistics
 from ..operators.lifecycle import latest
 from ..settings import Settings
 from ..sources.tables import table
@@ -14,6 +15,7 @@ from ..sources.tables import table
 BOUND, EARLIER = 10_000, 5_000  # message ids
 MUST = ["prod", "postgres"]
 DIGEST_TOP = Settings().digest_top
+HALF, QUARTER = 0.5, 0.25  # quantiles of the message ids
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,6 +118,40 @@ def answer_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return ops.answer_coverage(_facts(spark, folder), MUST, BOUND)
 
 
+def _id_at(spark: SparkSession, folder: str, quantile: float) -> int:
+    """The message id at a quantile of the log, so that the same share of it is read at every scale; -1 without messages."""
+    r = order_statistics(table(spark, folder, "messages").select("id"), "id", [quantile]).first()
+    return r["value"] if r else -1
+
+
+def facts_at_half(spark: SparkSession, folder: str) -> DataFrame:
+    f = ops.at_bound(_facts(spark, folder), _id_at(spark, folder, HALF))
+    return f.select("fact_no", "reinforcement_count", F.array_join("evidence", ",").alias("evidence"))
+
+
+def portrait_at_half(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ranked portrait from the facts as they were at half of the log."""
+    return ops.ranked(ops.at_bound(_facts(spark, folder), _id_at(spark, folder, HALF))).select("owner_id", "project_id", "section", "place", "fact_no")
+
+
+def portrait_diff_to_half(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts that came between a quarter and half of the log."""
+    f = _facts(spark, folder)
+    return ops.new_facts(ops.at_bound(f, _id_at(spark, folder, QUARTER)), ops.at_bound(f, _id_at(spark, folder, HALF))).select("fact_no", "owner_id")
+
+
+def provenance_at_half(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.provenance(_facts(spark, folder), _id_at(spark, folder, HALF))
+
+
+def provenance_histogram_at_half(spark: SparkSession, folder: str) -> DataFrame:
+    return provenance_at_half(spark, folder).groupBy("provenance").agg(F.count("*").alias("facts"))
+
+
+def coverage_at_half(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.answer_coverage(_facts(spark, folder), MUST, _id_at(spark, folder, HALF))
+
+
 _BLANK = lambda c: rf"CASE WHEN regexp_replace({c}, '[\x00-\x20]+', '', 'g') <> '' THEN {c} END"
 _WHOLE = f"coalesce({_BLANK('statement')}, concat_ws(' · ', {_BLANK('subject_norm')}, {_BLANK('predicate_norm')}, {_BLANK('object_value')}))"
 _LINE = f"left({_WHOLE}, 200)"
@@ -147,18 +183,38 @@ def _at(bound: int) -> str:
     return f"(SELECT * REPLACE (kept AS evidence, least(len(kept), reinforcement_count)::INT AS reinforcement_count) FROM (SELECT *, list_filter(evidence, lambda e: e <= {bound}) AS kept FROM facts) WHERE len(kept) > 0)"
 
 
-_PROVENANCE = f"""SELECT fact_no, CASE WHEN coalesce(list_max(evidence), -1) < 0 THEN 'unknown' WHEN list_max(evidence) <= {BOUND} THEN 'valid'
-    WHEN list_min(evidence) > {BOUND} THEN 'in-window' ELSE 'lag' END AS provenance FROM facts"""
+def _provenance(bound: int | str) -> str:
+    return f"""SELECT fact_no, CASE WHEN coalesce(list_max(evidence), -1) < 0 THEN 'unknown' WHEN list_max(evidence) <= {bound} THEN 'valid'
+    WHEN list_min(evidence) > {bound} THEN 'in-window' ELSE 'lag' END AS provenance FROM facts"""
+
+
+def _id_sql(quantile: float) -> str:
+    return f"(SELECT list_sort(list(id))[least(floor(count(id) * {quantile})::BIGINT, count(id) - 1) + 1] FROM messages)"
+
+
+def _at_quantile(quantile: float) -> str:
+    return f"""(SELECT * EXCLUDE (kept, bound) REPLACE (kept AS evidence, least(len(kept), reinforcement_count)::INT AS reinforcement_count) FROM (
+        SELECT *, list_filter(evidence, lambda e: e <= bound) AS kept FROM facts, (SELECT {_id_sql(quantile)} AS bound)) WHERE len(kept) > 0)"""
+
+
+_PROVENANCE, _PROVENANCE_HALF = _provenance(BOUND), _provenance(_id_sql(HALF))
 _ITEMS = "SELECT snapshot_id, section, place, i->>'id' AS id, i->>'subject' AS subject, i->>'predicate' AS predicate, i->>'object' AS object, i->>'statement' AS statement FROM (" + " UNION ALL ".join(
     f"SELECT snapshot_id, '{s}' AS section, unnest(range(1, len(x) + 1))::INT AS place, unnest(x) AS i FROM (SELECT snapshot_id, CAST(json_extract(snapshot, '$.{s}') AS JSON[]) AS x FROM portrait_snapshots)" for s in ops.SECTIONS
 ) + ")"
 _TEXT = f"lower(regexp_replace(concat_ws(' ', {', '.join(_BLANK(c) for c in ('subject_norm', 'predicate_norm', 'object_value', 'statement'))}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
+
+def _covered(provenance: str) -> str:
+    return f"""SELECT owner_id, project_id, {' AND '.join(f"coalesce(bool_or(contains(t, '{m}')), false)" for m in MUST)} AS covered
+        FROM (SELECT owner_id, project_id, CASE WHEN provenance = 'valid' THEN {_TEXT} END AS t FROM facts JOIN ({provenance}) USING (fact_no)) GROUP BY ALL"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         portrait_whole, portrait_sections, digest_text, digest_whole, digest_selected, portrait_cutoff, facts_as_of, portrait_as_of, portrait_whole_as_of, portrait_diff, stale_portraits, portrait_items, item_evidence, latest_portraits,
         build_delays, provenance_verdict, provenance_histogram, answer_coverage,
+        facts_at_half, portrait_at_half, portrait_diff_to_half, provenance_at_half, provenance_histogram_at_half, coverage_at_half,
     )
 }
 SQL = {
@@ -191,6 +247,11 @@ SQL = {
         FROM (SELECT snapshot_id, CAST(floor(epoch(built_at)) AS BIGINT) - CAST(floor(epoch(cutoff)) AS BIGINT) AS seconds FROM portrait_snapshots)""",
     "provenance_verdict": _PROVENANCE,
     "provenance_histogram": f"SELECT provenance, count(*) AS facts FROM ({_PROVENANCE}) GROUP BY ALL",
-    "answer_coverage": f"""SELECT owner_id, project_id, {' AND '.join(f"coalesce(bool_or(contains(t, '{m}')), false)" for m in MUST)} AS covered
-        FROM (SELECT owner_id, project_id, CASE WHEN provenance = 'valid' THEN {_TEXT} END AS t FROM facts JOIN ({_PROVENANCE}) USING (fact_no)) GROUP BY ALL""",
+    "answer_coverage": _covered(_PROVENANCE),
+    "facts_at_half": f"SELECT fact_no, reinforcement_count, array_to_string(evidence, ',') AS evidence FROM {_at_quantile(HALF)}",
+    "portrait_at_half": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_whole(_at_quantile(HALF))})",
+    "portrait_diff_to_half": f"SELECT fact_no, owner_id FROM {_at_quantile(HALF)} WHERE fact_no NOT IN (SELECT fact_no FROM {_at_quantile(QUARTER)})",
+    "provenance_at_half": _PROVENANCE_HALF,
+    "provenance_histogram_at_half": f"SELECT provenance, count(*) AS facts FROM ({_PROVENANCE_HALF}) GROUP BY ALL",
+    "coverage_at_half": _covered(_PROVENANCE_HALF),
 }

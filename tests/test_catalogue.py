@@ -37,6 +37,16 @@ def test_query_equals_its_sql(spark, name):
     compare(spark, catalogue.queries()[name], catalogue.oracle_sql()[name])
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_as_of_queries_have_something_to_do_on_small_tables(spark):
+    q = catalogue.queries()
+    evidence = {r.fact_no: len(r.evidence) for r in spark.read.parquet(f"{DATA}/facts.parquet").where("size(evidence) > 0").collect()}
+    kept = {r.fact_no: len(r.evidence.split(",")) for r in q["facts_at_half"](spark, DATA).collect()}
+    assert 0 < len(kept) < len(evidence) and any(n < evidence[f] for f, n in kept.items())
+    assert 0 < q["portrait_diff_to_half"](spark, DATA).count() < len(kept) == q["portrait_at_half"](spark, DATA).count()
+    assert {r.provenance for r in q["provenance_histogram_at_half"](spark, DATA).collect()} == {"unknown", "valid", "lag", "in-window"}
+
+
 def test_entry_has_a_stable_schema(spark):
     if os.path.isdir(DATA):
         assert entry.entry(spark).columns == ["snapshot_id", "fact_no"]
