@@ -74,6 +74,19 @@ def test_stream_ingests_each_message_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/cursors").agg(F.max("position")).first()[0] == 3
 
 
+def test_stream_keeps_messages_weeks_late(spark, tmp_path):
+    src, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    row = lambda i, day: (i, "s", "user", f"m{i}", 1, dt.datetime(2025, 1, 1) + dt.timedelta(days=day))
+    ddl = "id long, session_name string, peer_name string, content string, token_count int, created_at timestamp"
+    rows = [row(i, 200 - i) for i in range(1, 121)]
+    spark.createDataFrame(rows + rows[:5], ddl).repartition(130).write.option("maxRecordsPerFile", 1).parquet(src)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) > 100
+    ingest.ingest(ingest.message_stream(spark, src), out, check).awaitTermination()
+    spark.createDataFrame([row(7, 0), row(121, 0), row(122, -60)], ddl).coalesce(1).write.mode("append").parquet(src)
+    ingest.ingest(ingest.message_stream(spark, src), out, check).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{out}/messages").collect()) == list(range(1, 123))
+
+
 def test_session_activity(spark, tmp_path):
     src = f"{tmp_path}/in"
     ddl = "id long, session_name string, peer_name string, content string, token_count int, created_at timestamp"
