@@ -143,6 +143,21 @@ def near_dup_top5(spark: SparkSession, folder: str) -> DataFrame:
     return similar.near_duplicates(table(spark, folder, "facts").select("predicate_norm"), 0.6).withColumn("similarity", F.round("similarity", 9))
 
 
+def subject_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of subjects that may be one identity under two names."""
+    return similar.similar_pairs(table(spark, folder, "facts").select("subject_norm"), 0.3).withColumn("similarity", F.round("similarity", 9))
+
+
+def predicate_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of predicates that may mean the same."""
+    return similar.similar_pairs(table(spark, folder, "facts").select("predicate_norm"), 0.45).withColumn("similarity", F.round("similarity", 9))
+
+
+def near_dup_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """For each subject its five most similarly written other ones."""
+    return similar.near_duplicates(table(spark, folder, "facts").select("subject_norm"), 0.6).withColumn("similarity", F.round("similarity", 9))
+
+
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every vector whose id is divisible by 100."""
     v = table(spark, folder, "embeddings")
@@ -187,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         marker_match, arm_verdicts, answer_pivot, paired_stats, lift_report, judge_overlay, span_validation, validation_histogram, latency_percentiles, parse_facts_json,
-        embedding_backfill, extracted_facts, trigram_pairs, near_dup_top5, cosine_topk,
+        embedding_backfill, extracted_facts, trigram_pairs, near_dup_top5, subject_pairs, predicate_pairs, near_dup_subjects, cosine_topk,
     )
 }
 SQL = {
@@ -209,6 +224,10 @@ SQL = {
     "trigram_pairs": _pairs("predicate_norm", "facts", 0.7) + " SELECT a, b, round(similarity, 9) AS similarity FROM pairs",
     "near_dup_top5": _pairs("predicate_norm", "facts", 0.6) + """, two AS (SELECT a AS value, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)
       SELECT value, other, round(similarity, 9) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY similarity DESC, other) AS place FROM two) WHERE place <= 5""",
+    "subject_pairs": _pairs("subject_norm", "facts", 0.3) + " SELECT a, b, round(similarity, 9) AS similarity FROM pairs",
+    "predicate_pairs": _pairs("predicate_norm", "facts", 0.45) + " SELECT a, b, round(similarity, 9) AS similarity FROM pairs",
+    "near_dup_subjects": _pairs("subject_norm", "facts", 0.6) + """, two AS (SELECT a AS value, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)
+      SELECT value, other, round(similarity, 9) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY similarity DESC, other) AS place FROM two) WHERE place <= 5""",
     "cosine_topk": """SELECT query_id, vec_id, round(c, 6) AS cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS place FROM (
       SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id
       WHERE q.vec_id % 100 = 0)) WHERE place <= 10""",

@@ -47,6 +47,16 @@ def test_as_of_queries_have_something_to_do_on_small_tables(spark):
     assert {r.provenance for r in q["provenance_histogram_at_half"](spark, DATA).collect()} == {"unknown", "valid", "lag", "in-window"}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_dictionary_scans_cover_subjects_and_loosely_similar_predicates(spark):
+    q = catalogue.queries()
+    column = lambda c: {r[0] for r in spark.read.parquet(f"{DATA}/facts.parquet").select(c).distinct().collect()}
+    subjects, predicates = q["subject_pairs"](spark, DATA).collect(), q["predicate_pairs"](spark, DATA).collect()
+    assert subjects and {x for r in subjects for x in (r.a, r.b)} <= column("subject_norm") and min(r.similarity for r in subjects) < 0.6
+    assert predicates and {x for r in predicates for x in (r.a, r.b)} <= column("predicate_norm") and min(r.similarity for r in predicates) < 0.7
+    assert {r.value for r in q["near_dup_subjects"](spark, DATA).collect()} == {x for r in subjects if r.similarity >= 0.6 for x in (r.a, r.b)}
+
+
 def test_entry_has_a_stable_schema(spark):
     if os.path.isdir(DATA):
         assert entry.entry(spark).columns == ["snapshot_id", "fact_no"]
