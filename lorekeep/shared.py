@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is configured (tests)."""
+    """The session's checkpoint folder; one of our own only on a single machine where none is configured (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lorekeep-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
 
@@ -37,13 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that nothing reads any more."""
     for df in tables:
         if path := df.__dict__.get("_scratch_path"):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
