@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, ensure_checkpoint_dir
+from ..shared import cut, discard, ensure_checkpoint_dir, remove, scratch
 from ..sources.tables import table
 from .words import words
 
@@ -20,8 +22,11 @@ SLIPS = 2
 ROWS_PER_SHARD = 20_000
 HOT_BLOCK = 20_000
 _BASE_LEVEL = 1_000
-_SEGMENT = "vocabulary binary, ids binary, suffixes binary, starts binary, numbers binary, records binary"
-_OUT = f"kind string, shard long, number long, first long, {_SEGMENT}"
+DEPTH = 32  # symbols by which suffixes are ordered
+MANY = 16  # occurrences of a query's rarest words beyond which longer substrings are tried
+_CLOSE, _END = "\x00", "\x01"
+_OUT_COLUMNS = ["kind", "shard", "number", "first", "blocks", "body", "suffixes", "owners", "ranks", "rank_starts", "starts", "bounds", "numbers"]
+_OUT = "kind string, shard long, number long, first long, " + ", ".join(f"{c} binary" for c in _OUT_COLUMNS[4:])
 
 
 # ------------------------------------------------------------------ slips
@@ -109,184 +114,221 @@ def _pair_up(x: list[str], y: list[str], most: int) -> bool:
 # ------------------------------------------------------------------ suffix arrays
 
 
+def _text(words_: list[str]) -> str:
+    """A record's text: its words, each closed, and the record's end. An empty record is its end alone."""
+    return "".join(w + _CLOSE for w in words_) + _END
+
+
+def _by_word(n: int) -> bool:
+    """Whether the substrings of a record of ``n`` words are whole words: two slips break at most two of them, so it takes three."""
+    return n > SLIPS
+
+
+def pieces(words_: list[str]) -> tuple[list[str], int]:
+    """The substrings that a record's text is cut into, and how many of them two slips can break at most.
+
+    Whole words where there are three or more; else every word in equal parts, five or more in all: a slip breaks one
+    part, or two if it swaps the letters on both sides of a cut. Parts of very short words may be empty.
+    """
+    if _by_word(len(words_)):
+        return [w + _CLOSE for w in words_], SLIPS
+    parts = -(-(2 * SLIPS + 1) // max(1, len(words_)))
+    out = []
+    for w in words_ or [""]:
+        t = w + _CLOSE if words_ else ""
+        out += [t[len(t) * k // parts : len(t) * (k + 1) // parts] for k in range(parts)]
+    return out, 2 * SLIPS
+
+
+def runs(words_: list[str]) -> list[str]:
+    """Five longer substrings, of neighbouring words: two slips can change two words, and each changed word may sort into one more."""
+    cut_ = [len(words_) * k // (2 * SLIPS + 1) for k in range(2 * SLIPS + 2)]
+    return ["".join(w + _CLOSE for w in words_[a:b]) for a, b in zip(cut_, cut_[1:])]
+
+
 class Segment:
-    """An immutable suffix array over the concatenated token sequences of a set of records.
+    """An immutable suffix array over the concatenated texts of a set of records.
 
-    A record's text is its block's token and one token for each of its words; tokens are 64-bit
-    hashes that hold the block, so that records of different blocks never share one.
+    Records stand block by block, and so do their suffixes: ``bounds`` holds where each block's begin, and within a block they are
+    in order of their first ``DEPTH`` symbols. Indexed are the places where a substring of ``pieces`` can begin: every word of a record
+    whose substrings are words, every symbol of the others. ``owners`` has the record of each suffix, ``ranks`` the
+    places of each record's suffixes in the array. All are stored, so that opening a segment rebuilds nothing.
     """
 
-    def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, starts: np.ndarray, numbers: np.ndarray, records: list | bytes, suffixes: np.ndarray | None = None):
-        self.vocabulary, self.ids, self.starts, self.numbers, self._records = vocabulary, ids, starts, numbers, records
-        lengths = np.diff(np.append(starts, len(ids)))
-        self.owner = np.repeat(np.arange(len(starts)), lengths)
-        self.ends = np.repeat(starts + lengths, lengths)
-        self.suffixes = self._sort(int(lengths.max(initial=1))) if suffixes is None else suffixes
-        self.bounds = np.append(0, np.cumsum(np.bincount(self.ids, minlength=len(self.vocabulary))))
-
-    @property
-    def records(self) -> list:
-        """[block, word, ...] of each record; unpacked when first asked for."""
-        if isinstance(self._records, bytes):
-            self._records = json.loads(zlib.decompress(self._records))
-        return self._records
-
-    def tokens(self, record: int) -> np.ndarray:
-        stop = self.starts[record + 1] if record + 1 < len(self.starts) else len(self.ids)
-        return self.vocabulary[self.ids[self.starts[record] : stop]]
-
-    def _sort(self, longest: int) -> np.ndarray:
-        """Prefix doubling; a suffix ends with its record."""
-        rank, at, k = self.ids.astype(np.int64), np.arange(len(self.ids)), 1
-        while k < longest and len(rank):
-            ahead = at + k
-            nxt = np.where(ahead < self.ends, rank[np.minimum(ahead, len(rank) - 1)] + 1, 0)
-            _, rank = np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)
-            k *= 2
-        return np.argsort(rank, kind="stable").astype(np.int32)
-
-    def find(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of the suffixes that begin with each token; empty where it doesn't occur."""
-        if not len(self.vocabulary):
-            return np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        i = np.minimum(np.searchsorted(self.vocabulary, first), len(self.vocabulary) - 1)
-        here = self.vocabulary[i] == first
-        return np.where(here, self.bounds[i], 0), np.where(here, self.bounds[i + 1], 0)
-
-    def narrow(self, low: np.ndarray, high: np.ndarray, offset: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each interval the part whose suffixes have ``token`` at ``offset``, by binary search."""
-        i = np.minimum(np.searchsorted(self.vocabulary, token), len(self.vocabulary) - 1)
-        target = np.where(self.vocabulary[i] == token, i, -2)
-
-        def bound(least: np.ndarray) -> np.ndarray:
-            a, b = low.copy(), high.copy()
-            while (open_ := a < b).any():
-                mid = (a + b) // 2
-                p = self.suffixes[np.minimum(mid, len(self.suffixes) - 1)].astype(np.int64) + offset
-                value = np.where(p < self.ends[np.minimum(p - offset, len(self.ends) - 1)], self.ids[np.minimum(p, len(self.ids) - 1)], -1)
-                right = open_ & (value < least)
-                a, b = np.where(right, mid + 1, a), np.where(open_ & ~right, mid, b)
-            return a
-
-        return bound(target), bound(target + 1)
+    ARRAYS = {"suffixes": "i", "owners": "i", "ranks": "i", "rank_starts": "q", "starts": "q", "bounds": "q", "numbers": "q"}
+
+    def __init__(self, blocks: list[str], text: str, arrays: dict[str, bytes]):
+        self.blocks, self.text, self.arrays = blocks, text, arrays
+        for name, kind in self.ARRAYS.items():
+            setattr(self, name, memoryview(arrays[name]).cast(kind))
+        self.place = {b: k for k, b in enumerate(blocks)}
+        self._ranks, self._rank_starts = np.frombuffer(arrays["ranks"], np.int32), np.frombuffer(arrays["rank_starts"], np.int64)
+        self._owners, self._numbers = np.frombuffer(arrays["owners"], np.int32), np.frombuffer(arrays["numbers"], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def words(self, record: int) -> list[str]:
+        stop = self.starts[record + 1] if record + 1 < len(self.starts) else len(self.text)
+        return self.text[self.starts[record] : stop].split(_CLOSE)[:-1]
+
+    def records(self) -> Iterator[tuple[str, list[str], int]]:
+        """(block, words, number) of each record."""
+        block = np.zeros(len(self), np.int64)
+        block[self._owners] = np.repeat(np.arange(len(self.blocks)), np.diff(np.append(np.asarray(self.bounds), len(self.suffixes))))
+        for k, b in enumerate(block.tolist()):
+            yield self.blocks[b], self.words(k), self.numbers[k]
+
+    def block(self, name: str) -> tuple[int, int]:
+        """The interval of a block's suffixes; empty if the segment lacks the block."""
+        if (k := self.place.get(name)) is None:
+            return 0, 0
+        return self.bounds[k], self.bounds[k + 1] if k + 1 < len(self.bounds) else len(self.suffixes)
+
+    def find(self, part: str, low: int, high: int) -> tuple[int, int]:
+        """Of the interval [low, high) of one block the part whose suffixes begin with ``part``, by binary search.
+
+        Only the first ``DEPTH`` symbols of a longer substring are compared, so that it may find more than it should.
+        """
+        part = part[:DEPTH]
+        head = lambda p, text=self.text, n=len(part): text[p : p + n]
+        low = bisect_left(self.suffixes, part, low, high, key=head)
+        return low, bisect_right(self.suffixes, part, low, high, key=head)
+
+    def covered(self, q: np.ndarray, r: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each pair of a query and a record, how many of the query's substrings, ``first[q]`` to ``first[q + 1]``, the record holds."""
+        n = first[q + 1] - first[q]
+        pair = np.repeat(np.arange(len(q)), n)
+        piece = first[q][pair] + np.arange(len(pair)) - np.append(0, np.cumsum(n))[pair]
+        a, b = self._rank_starts[r][pair], self._rank_starts[r + 1][pair]
+        stop, least = b.copy(), low[piece]
+        while (open_ := a < b).any():
+            mid = (a + b) // 2
+            right = open_ & (self._ranks[np.minimum(mid, len(self._ranks) - 1)] < least)
+            a, b = np.where(right, mid + 1, a), np.where(open_ & ~right, mid, b)
+        held = (a < stop) & (self._ranks[np.minimum(a, len(self._ranks) - 1)] < high[piece])
+        return np.bincount(pair, held, len(q)).astype(np.int64)
 
     def row(self, shard: int) -> dict:
-        records = zlib.compress(json.dumps(self.records, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
-        packed = {n: getattr(self, n).tobytes() for n in ("vocabulary", "ids", "suffixes", "starts", "numbers")}
-        return {"kind": "segment", "shard": shard, "number": None, "first": None, **packed, "records": records}
+        pack = lambda x: zlib.compress(x.encode("utf-8", "surrogatepass"), 1)
+        return {"kind": "segment", "shard": shard, "blocks": pack(json.dumps(self.blocks, ensure_ascii=False)), "body": pack(self.text), **self.arrays}
 
     @staticmethod
     def of(row: dict) -> Segment:
-        read = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        return Segment(read("vocabulary", np.int64), read("ids", np.int32), read("starts", np.int64), read("numbers", np.int64), bytes(row["records"]), read("suffixes", np.int32))
+        read = lambda x: zlib.decompress(x).decode("utf-8", "surrogatepass")
+        return Segment(json.loads(read(row["blocks"])), read(row["body"]), {n: bytes(row[n]) for n in Segment.ARRAYS})
 
     @staticmethod
-    def build(numbers: np.ndarray, tokens: list, records: list) -> Segment:
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in tokens]) if len(tokens) else np.zeros(0, np.int64)
-        vocabulary, ids = np.unique(flat, return_inverse=True)
-        return Segment(vocabulary, ids.astype(np.int32), np.append(0, np.cumsum(lengths))[:-1].astype(np.int64), np.asarray(numbers, dtype=np.int64), records)
+    def build(records: Iterable[tuple[str, list[str], int]]) -> Segment:
+        """From (block, sorted words, number); blocks and words may repeat."""
+        rows = sorted(records)
+        texts = [_text(ws) for _, ws, _ in rows]
+        text = "".join(texts)
+        starts = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))[:-1]
+        blocks, bounds, suffixes, owners, mine = [], [], [], [], []
+        head = lambda x: text[x[0] : x[0] + DEPTH]
+
+        def close() -> None:
+            mine.sort(key=head)
+            suffixes.extend(p for p, _ in mine)
+            owners.extend(k for _, k in mine)
+            mine.clear()
+
+        for k, ((block, ws, _), at) in enumerate(zip(rows, starts.tolist())):
+            if not blocks or block != blocks[-1]:
+                close()
+                blocks.append(block)
+                bounds.append(len(suffixes))
+            if _by_word(len(ws)):
+                for w in ws:
+                    mine.append((at, k))
+                    at += len(w) + 1
+            else:
+                mine.extend((p, k) for p in range(at, at + len(texts[k])))
+        close()
+        owner = np.array(owners, np.int32)
+        arrays = {
+            "suffixes": np.array(suffixes, np.int32), "owners": owner, "ranks": np.argsort(owner, kind="stable").astype(np.int32),
+            "rank_starts": np.append(0, np.cumsum(np.bincount(owner, minlength=len(rows)))).astype(np.int64),
+            "starts": starts, "bounds": np.array(bounds, np.int64), "numbers": np.array([n for *_, n in rows], np.int64),
+        }
+        return Segment(blocks, text, {n: a.tobytes() for n, a in arrays.items()})
 
     @staticmethod
     def merge(parts: list[Segment]) -> Segment:
         """One segment for several; of records with equal blocks and words the smallest number stays."""
-        first: dict[tuple, tuple[int, np.ndarray, list]] = {}
+        first: dict[tuple, int] = {}
         for s in parts:
-            for k, r in enumerate(s.records):
-                key, no = tuple(r), int(s.numbers[k])
-                if key not in first or no < first[key][0]:
-                    first[key] = (no, s.tokens(k), r)
-        chosen = sorted(first.values(), key=lambda x: x[0])
-        return Segment.build(np.array([c[0] for c in chosen]), [c[1] for c in chosen], [c[2] for c in chosen])
-
-
-def candidates(segment: Segment, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, record) that share a substring which any record within two slips must share.
-
-    Two slips change at most two words of the query and two of the record. With up to two words, all
-    records of the block qualify. With three to nine, one of any three words is unchanged: the three
-    rarest are used, rarity being the width of the suffix interval. With ten or more, the sorted words
-    are cut into five substrings; two can be changed and two more be broken by a changed word that
-    sorts into them, so one of the five occurs in the record as it stands.
+            for block, ws, no in s.records():
+                key = (block, tuple(ws))
+                first[key] = min(no, first.get(key, no))
+        return Segment.build((block, list(ws), no) for (block, ws), no in first.items())
+
+
+def candidates(segment: Segment, queries: list[tuple[str, list[str]]], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, record) of one block whose record holds as much of the query's text as any within two slips must.
+
+    Each query's text is cut into substrings (``pieces``), and each is looked up in the suffix array by binary search. If two
+    slips can break k of them, any k + 1 hold one that stands unbroken in every record looked for: the k + 1 with the fewest
+    occurrences are followed. Where those are many, five longer ``runs`` are looked up as well and followed if they occur less often.
+    Then the coverage is added up per record: it must hold all of the query's substrings but k.
+    ``before``: only records with a smaller number than this are of use to each query.
     """
-    if not tokens or not len(segment.ids):
+    first, low, high, need, q, r = [0], [], [], [], [], []
+    for k, (block, ws) in enumerate(queries):
+        a, b = segment.block(block)
+        found: list[tuple[int, int]] = []
+        breakable = 0
+        if a < b:
+            parts, breakable = pieces(ws)
+            found = [segment.find(p, a, b) for p in parts]
+            follow = sorted(found, key=lambda x: x[1] - x[0])[: breakable + 1]
+            if len(ws) > 2 * SLIPS and sum(y - x for x, y in follow) > MANY:
+                longer = [segment.find(p, a, b) for p in runs(ws)]
+                if sum(y - x for x, y in longer) < sum(y - x for x, y in follow):
+                    follow = longer
+            held = [segment._owners[x:y] for x, y in follow if x < y]
+            if held:
+                records = np.unique(np.concatenate(held)).astype(np.int64) if len(held) > 1 or len(held[0]) > 1 else held[0].astype(np.int64)
+                if before is not None:
+                    records = records[segment._numbers[records] < before[k]]
+                q.append(np.full(len(records), k, np.int64))
+                r.append(records)
+        first.append(first[-1] + len(found))
+        low.extend(x for x, _ in found)
+        high.extend(y for _, y in found)
+        need.append(len(found) - breakable)
+    if not q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = np.array([len(t) - 1 for t in tokens])
-    flat, begin = np.concatenate(tokens), np.append(0, np.cumsum(n + 1))[:-1]
-    query = np.repeat(np.arange(len(tokens)), n + 1)
-    place = np.arange(len(flat)) - begin[query]
-    many = n[query]
-    # single tokens: the block for short records, the words for the middle ones
-    one = np.where(many <= 2, place == 0, (many < 10) & (place > 0))
-    q1, (low1, high1) = query[one], segment.find(flat[one])
-    width = high1 - low1
-    order = np.lexsort((width, q1))
-    head = np.append(True, q1[order][1:] != q1[order][:-1])
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    use = order[rank < 3]
-    hits = [(q1[use], low1[use], high1[use])]
-    # five substrings for the long ones
-    for q in np.flatnonzero(n >= 10):
-        cuts = [1 + n[q] * k // 5 for k in range(6)]
-        for a, b in zip(cuts, cuts[1:]):
-            t = tokens[q][a:b]
-            low, high = segment.find(t[:1])
-            for k in range(1, len(t)):
-                if low[0] >= high[0]:
-                    break
-                low, high = segment.narrow(low, high, k, t[k : k + 1])
-            hits.append((np.array([q]), low, high))
-    q, low, high = (np.concatenate(x) for x in zip(*hits))
-    count = np.maximum(0, high - low)
-    at = np.repeat(low - np.append(0, np.cumsum(count))[:-1], count) + np.arange(count.sum())
-    record = segment.owner[segment.suffixes[at]]
-    pairs = np.unique(np.repeat(q, count).astype(np.int64) * len(segment.starts) + record)
-    return pairs // len(segment.starts), pairs % len(segment.starts)
-
-
-def _covered(segment: Segment, tokens: list[np.ndarray], q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Of each pair, whether the record covers all of the query's words but two, counted by token."""
-    keep = np.zeros(len(q), bool)
-    sets: dict[int, frozenset] = {}
-    mine, at = frozenset(), -1
-    for k in range(len(q)):
-        if q[k] != at:
-            at = q[k]
-            mine = frozenset(tokens[at].tolist())
-        if (other := sets.get(r[k])) is None:
-            other = sets[r[k]] = frozenset(segment.tokens(r[k]).tolist())
-        keep[k] = len(mine - other) <= SLIPS
-    return keep
-
-
-def _visit(consume_below: int):
+    q, r = np.concatenate(q), np.concatenate(r)
+    enough = segment.covered(q, r, np.array(first, np.int64), np.array(low, np.int64), np.array(high, np.int64)) >= np.array(need, np.int64)[q]
+    return q[enough], r[enough]
+
+
+def _visit(due: frozenset[int], search: bool):
     """What one shard does with one batch: ask every live segment, build the batch's own, merge what is due."""
 
     def visit(live: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         shard = int((live if len(live) else batch)["shard"].iloc[0])
         batch = batch.sort_values(["number", "home"], ascending=[True, False]).drop_duplicates("number")  # salts may share a shard
-        records = [[b, *w] for b, w in zip(batch["block"], batch["letters"])]
-        tokens = [np.asarray(t, dtype=np.int64) for t in batch["tokens"]]
-        home = np.flatnonzero(batch["home"].to_numpy(dtype=bool)) if len(batch) else np.zeros(0, np.int64)
-        own = Segment.build(batch["number"].to_numpy(dtype=np.int64)[home], [tokens[k] for k in home], [records[k] for k in home])
-        stored = [(int(row["level"]), Segment.of(row)) for row in live.to_dict("records")]
-        best = batch["number"].to_numpy(dtype=np.int64).copy()
-        for segment in [*(s for _, s in stored), own]:
-            q, r = candidates(segment, tokens)
-            keep = _covered(segment, tokens, q, r) & (segment.numbers[r] < best[q]) if len(q) else np.zeros(0, bool)
-            q, r = q[keep], r[keep]
-            for k in np.argsort(segment.numbers[r], kind="stable"):
-                a, b = records[q[k]], segment.records[r[k]]
-                if segment.numbers[r[k]] < best[q[k]] and a[0] == b[0] and alike(a[1:], b[1:]):
-                    best[q[k]] = segment.numbers[r[k]]
-        due = [s for level, s in stored if level < consume_below]
-        merged = Segment.merge([own, *due]) if due else own
-        found = best < batch["number"].to_numpy(dtype=np.int64)
-        rows = [{"kind": "match", "shard": shard, "number": int(a), "first": int(b)} for a, b in zip(batch["number"].to_numpy()[found], best[found])]
-        if len(merged.starts):
+        queries = [(b, list(w)) for b, w in zip(batch["block"], batch["letters"])]
+        numbers = batch["number"].to_numpy(dtype=np.int64)
+        home = batch["home"].to_numpy(dtype=bool) if len(batch) else np.zeros(0, bool)
+        own = Segment.build((*queries[k], int(numbers[k])) for k in np.flatnonzero(home))
+        stored = [(int(row["step"]), Segment.of(row)) for row in live.to_dict("records")]
+        best = numbers.copy()
+        for segment in [*(s for _, s in stored), own] if search and len(batch) else []:
+            q, r = candidates(segment, queries, best)
+            for k in np.lexsort((segment._numbers[r], q)):
+                no = segment.numbers[r[k]]
+                if no < best[q[k]] and alike(queries[q[k]][1], segment.words(r[k])):
+                    best[q[k]] = no
+        merged = Segment.merge([own, *(s for step, s in stored if step in due)]) if due else own
+        found = best < numbers
+        rows = [{"kind": "match", "shard": shard, "number": int(a), "first": int(b)} for a, b in zip(numbers[found], best[found])]
+        if len(merged):
             rows.append(merged.row(shard))
-        columns = ["kind", "shard", "number", "first", "vocabulary", "ids", "suffixes", "starts", "numbers", "records"]
-        return pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=object) for c in columns})
+        return pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=object) for c in _OUT_COLUMNS})
 
     return visit
 
@@ -299,54 +341,57 @@ class History:
     batches at most log2(b) + 2 are live and a record is rewritten at most log2(b) times. The first
     batch (the history) is kept as it is. Segments are sharded by hash of the block; a block of more than
     ``HOT_BLOCK`` records is salted over several shards, and its queries go to all of them.
+
+    The segments are a table bucketed by shard: they are read where they lie and written where they are made, and only
+    the rows of the batch are shuffled. The table is entered in the session's catalog under a name of its own until ``drop``.
     """
 
     def __init__(self, spark: SparkSession, shards: int, hot: DataFrame):
         self.spark, self.shards = spark, shards
+        self.buckets = min(shards, max(1, spark.sparkContext.defaultParallelism * 4))
         self.hot = hot if hot.take(1) else None
-        self.root = f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
-        self.live: list[tuple[str, int]] = []
+        self.name = f"history_{uuid.uuid4().hex}"
+        self.root = f"{ensure_checkpoint_dir(spark)}/{self.name}"
+        self.live: list[tuple[int, int]] = []  # (step, level)
         self.count = 0
-        self.matches: list[str] = []
 
-    def _route(self, batch: DataFrame) -> DataFrame:
-        """Each row at the shard of its block; a row of a hot block at the shards of all its salts, at home in one."""
-        columns = ["number", "block", "letters", "tokens"]
+    def _route(self, batch: DataFrame, search: bool) -> DataFrame:
+        """Each row at the shard of its block; a row of a hot block at the shards of all its salts if they are to be searched, at home in one."""
+        columns = ["number", "block", "letters"]
         if self.hot is None:
             return batch.select(F.pmod(F.xxhash64("block", F.lit(0).cast("long")), F.lit(self.shards)).alias("shard"), *columns, F.lit(True).alias("home"))
         salts = F.coalesce(F.col("salts"), F.lit(1))
         b = batch.join(self.hot, "block", "left").withColumn("_home", F.pmod(F.xxhash64("letters", "block"), salts))
-        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))))
+        to = F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")) if search else F.array("_home")
+        b = b.withColumn("_salt", F.explode(to))
         shard = F.pmod(F.xxhash64("block", "_salt"), F.lit(self.shards))
         return b.select(shard.alias("shard"), *columns, (F.col("_salt") == F.col("_home")).alias("home"))
 
-    def add(self, batch: DataFrame) -> None:
-        """``batch``: number (smallest of its equals), block, letters, tokens; one row for each distinct (block, letters)."""
+    def _stored(self, kind: str) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("kind") == kind)
+
+    def add(self, batch: DataFrame, search: bool = True) -> None:
+        """``batch``: number (smallest of its equals), block, letters; one row for each distinct (block, letters).
+
+        ``search``: False for rows that are accepted without being checked, as the history itself.
+        """
         carry = (self.count & -self.count).bit_length() - 1 if self.count else _BASE_LEVEL
-        spark, path = self.spark, f"{self.root}/{self.count}"
-        below = 0 if carry == _BASE_LEVEL else carry
-        live = [spark.read.schema(_OUT).parquet(p).where("kind = 'segment'").withColumn("level", F.lit(level)) for p, level in self.live]
-        stored = live[0] if live else spark.createDataFrame([], _OUT + ", level int")
-        for more in live[1:]:
-            stored = stored.union(more)
-        parts = min(self.shards, max(1, spark.sparkContext.defaultParallelism * 4))
-        left, right = stored.repartition(parts, "shard"), self._route(batch).repartition(parts, "shard")
-        done = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(_visit(below), _OUT)
-        done.write.parquet(path)
-        self.live = [(p, level) for p, level in self.live if level >= below or level == _BASE_LEVEL] + [(path, carry)]
-        self.matches.append(path)
+        due = frozenset(step for step, level in self.live if level < carry) if carry != _BASE_LEVEL else frozenset()
+        read = "step int, " + _OUT
+        live = self._stored("segment").where(F.col("step").isin([step for step, _ in self.live])).select("shard", "step", "blocks", "body", *Segment.ARRAYS) if self.live else self.spark.createDataFrame([], read).select("shard", "step")
+        right = self._route(batch, search).repartition(self.buckets, "shard")
+        done = live.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(_visit(due, search), _OUT)
+        done.withColumn("step", F.lit(self.count)).write.format("parquet").mode("append").option("path", self.root).partitionBy("kind", "step").bucketBy(self.buckets, "shard").saveAsTable(self.name)
+        self.live = [(step, level) for step, level in self.live if step not in due] + [(self.count, carry)]
         self.count += 1
 
     def found(self) -> DataFrame:
         """(number, first): the smallest earlier number that each batch row repeats, as far as it repeats one."""
-        out = None
-        for path in self.matches:
-            one = self.spark.read.schema(_OUT).parquet(path).where("kind = 'match'").select("number", "first")
-            out = one if out is None else out.union(one)
-        return out.groupBy("number").agg(F.min("first").alias("first"))
+        return self._stored("match").groupBy("number").agg(F.min("first").alias("first"))
 
     def drop(self) -> None:
         """Delete the segments and matches."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
@@ -386,30 +431,63 @@ def assertions(facts: DataFrame) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(first_no, fact_no): each STATE fact of a later batch that repeats an earlier one, exactly or with up to two slips."""
     facts = table(spark, folder, "facts").where("kind = 'STATE'")
-    rows = f"{ensure_checkpoint_dir(spark)}/assertions-{uuid.uuid4().hex}"
+    if not facts.take(1):
+        return facts.select(F.col("fact_no").alias("first_no"), "fact_no")
+    rows = scratch(spark, "assertions")
     assertions(facts).write.partitionBy("batch_no").parquet(rows)
-    kept = spark.read.parquet(rows) if facts.take(1) else assertions(facts)
-    return _first_of(spark, kept)
+    answer = cut(repeated(spark.read.parquet(rows)))
+    remove(spark, rows)
+    return answer
 
 
-def _first_of(spark: SparkSession, kept: DataFrame) -> DataFrame:
-    if not kept.take(1):
-        return kept.select(F.col("fact_no").alias("first_no"), "fact_no")
+def repeated(kept: DataFrame) -> DataFrame:
+    """(first_no, fact_no) of the assertions (fact_no, batch_no, block, letters) of batches above 0 that repeat an earlier one."""
+    spark = kept.sparkSession
     total = kept.count()
     hot = cut(kept.groupBy("block").count().where(F.col("count") > HOT_BLOCK).select("block", F.ceil(F.col("count") / HOT_BLOCK).cast("long").alias("salts")))
     history = History(spark, max(2 * spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_SHARD)), hot)
-    tokens = F.concat(F.array(F.xxhash64("block")), F.transform("letters", lambda w: F.xxhash64(F.col("block"), w)))
     for number in sorted(r.batch_no for r in kept.select("batch_no").distinct().collect()):  # one value a batch
         batch = kept.where(F.col("batch_no") == number).groupBy("block", "letters").agg(F.min("fact_no").alias("number"))
-        history.add(batch.withColumn("tokens", tokens))
+        history.add(batch, search=number > 0)
     found = cut(history.found())
     history.drop()
+    discard(hot)
     later = kept.where("batch_no > 0")
     classes = later.groupBy("batch_no", "block", "letters").agg(F.min("fact_no").alias("number"))
     answer = classes.join(found, "number", "left").select("batch_no", "block", "letters", F.coalesce("first", "number").alias("first_no"))
     return later.join(answer, ["batch_no", "block", "letters"]).where("first_no < fact_no").select("first_no", "fact_no")
 
 
+# DuckDB counts slips in bytes, so Cyrillic letters are first mapped to single bytes.
+P2_SQL = r"""
+WITH f AS (
+  SELECT fact_no, coalesce(batch_no, 0) AS batch_no, owner_id, project_id,
+    list_sort(list_distinct(list_transform(map_entries(coalesce(conditions, MAP {})), lambda e: lower(trim(e.key)) || chr(2) || lower(trim(coalesce(e.value, '')))))) AS cond,
+    list_concat(
+      list_transform(regexp_extract_all(lower(coalesce(subject_norm, '')), '[\p{L}\p{N}]+'), lambda w: 's' || w),
+      list_transform(regexp_extract_all(lower(coalesce(predicate_norm, '')), '[\p{L}\p{N}]+'), lambda w: 'p' || w),
+      list_transform(regexp_extract_all(lower(coalesce(object_value, '')), '[\p{L}\p{N}]+'), lambda w: 'o' || w)) AS ws
+  FROM facts WHERE kind = 'STATE'),
+g AS (SELECT fact_no, batch_no, owner_id, project_id, cond,
+    list_sort(list_filter(ws, lambda w: regexp_matches(w, '\p{N}'))) AS exact,
+    list_sort(list_transform(list_filter(ws, lambda w: NOT regexp_matches(w, '\p{N}')),
+      lambda w: translate(w, 'абвгдежзийклмнопрстуфхцчшщъыьэюяё', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*+'))) AS free
+  FROM f),
+n AS (SELECT *, list_transform(free, lambda w, i: w || '|' || len(list_filter(free[1:i], lambda x: x = w))) AS numbered,
+    list_sort(list_transform(free, lambda w: w[1])) AS shape FROM g),
+pair AS (
+  SELECT b.fact_no, a.fact_no AS first_no,
+    list_transform(list_filter(a.numbered, lambda w: NOT list_contains(b.numbered, w)), lambda w: split_part(w, '|', 1)) AS x,
+    list_transform(list_filter(b.numbered, lambda w: NOT list_contains(a.numbered, w)), lambda w: split_part(w, '|', 1)) AS y
+  FROM n AS b JOIN n AS a ON a.owner_id IS NOT DISTINCT FROM b.owner_id AND a.project_id IS NOT DISTINCT FROM b.project_id
+    AND a.cond = b.cond AND a.exact = b.exact AND a.shape = b.shape AND a.fact_no < b.fact_no
+  WHERE b.batch_no > 0)
+SELECT min(first_no) AS first_no, fact_no FROM pair
+WHERE len(x) = 0
+  OR len(x) = 1 AND x[1][1] = y[1][1] AND damerau_levenshtein(x[1], y[1]) <= 2
+  OR len(x) = 2 AND (x[1][1] = y[1][1] AND x[2][1] = y[2][1] AND damerau_levenshtein(x[1], y[1]) + damerau_levenshtein(x[2], y[2]) <= 2
+    OR x[1][1] = y[2][1] AND x[2][1] = y[1][1] AND damerau_levenshtein(x[1], y[2]) + damerau_levenshtein(x[2], y[1]) <= 2)
+GROUP BY fact_no
+"""
 QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
-
+SQL = {"p2_found": P2_SQL}

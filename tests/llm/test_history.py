@@ -50,33 +50,76 @@ def test_alike(a, b, wanted):
 
 def test_suffix_array_finds_every_substring():
     rng = random.Random(7)
-    tokens = [np.array([rng.randrange(4) for _ in range(rng.randrange(1, 14))], np.int64) for _ in range(60)]
-    s = Segment.build(np.arange(60), tokens, [["b"]] * 60)
-    texts = [t.tolist() for t in tokens]
-    order = [(texts[s.owner[p]][p - s.starts[s.owner[p]] :]) for p in s.suffixes]
-    assert order == sorted(order)
-    for _ in range(200):
-        q = [rng.randrange(5) for _ in range(rng.randrange(1, 4))]
-        low, high = s.find(np.array(q[:1]))
-        for k in range(1, len(q)):
-            low, high = s.narrow(low, high, k, np.array(q[k : k + 1]))
-        got = {int(s.owner[s.suffixes[i]]) for i in range(low[0], high[0])}
-        assert got == {i for i, t in enumerate(texts) if any(t[j : j + len(q)] == q for j in range(len(t)))}
+    texts = [(rng.choice("xy"), sorted("".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(0, 5)))) for _ in range(80)]
+    s = Segment.build((b, ws, k) for k, (b, ws) in enumerate(texts))
+    assert sorted((b, ws, n) for b, ws, n in s.records()) == sorted((b, ws, k) for k, (b, ws) in enumerate(texts))
+    whole = history._text
+    for _ in range(300):
+        block, n = rng.choice("xyz"), rng.randrange(0, 6)
+        words = sorted("".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+        for part in history.pieces(words)[0] + (history.runs(words) if n > 4 else []):
+            low, high = s.find(part, *s.block(block))
+            got = {s.numbers[s.owners[k]] for k in range(low, high)}
+            starts = lambda ws, part=part: [whole(ws)[p:] for p in range(len(whole(ws))) if len(ws) < 3 or p == 0 or whole(ws)[p - 1] == "\x00"]
+            assert got == {k for k, (b, ws) in enumerate(texts) if b == block and any(x.startswith(part) for x in starts(ws))}
     again = Segment.of(s.row(0))
-    assert (again.suffixes == s.suffixes).all() and (again.numbers == s.numbers).all()
+    assert again.arrays == s.arrays and list(again.records()) == list(s.records())
 
 
-def test_long_records_share_one_of_five_pieces():
+def test_merged_segments_keep_the_first_of_equals():
+    a, b = Segment.build([("x", ["oa"], 5), ("y", [], 2)]), Segment.build([("x", ["oa"], 3), ("x", ["ob"], 4)])
+    assert sorted(Segment.merge([a, b]).records()) == [("x", ["oa"], 3), ("x", ["ob"], 4), ("y", [], 2)]
+    assert len(Segment.build([])) == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=0, max_size=12), st.data())
+def test_no_record_within_two_slips_is_missed(words, data):
+    """Whatever the number of words, and whether whole words, parts or longer runs are followed."""
+    other = list(words)
+    for _ in range(2 if words else 0):
+        k = data.draw(st.integers(0, len(other) - 1))
+        other[k] = data.draw(st.sampled_from(sorted(w for w in neighbours(other[k]) if w)))
+    a, b = sorted("s" + w for w in words), sorted("s" + w for w in other)
+    s = Segment.build([("b", b, 1)] + [("b", a, k + 2) for k in range(data.draw(st.sampled_from([0, 40])))])
+    q, r = history.candidates(s, [("b", a), ("c", a)])
+    assert alike(a, b) and set(q.tolist()) <= {0} and 1 in {s.numbers[k] for k in r}
+
+
+def test_longer_runs_are_followed_where_words_are_common():
     rng = random.Random(8)
-    for n in (10, 11, 17, 40):
-        words = sorted(rng.sample(range(10_000), n))
-        for _ in range(50):
-            other = sorted([w for w in words if w not in rng.sample(words, 2)] + rng.sample(range(10_000), 2))
-            if len(set(words) & set(other)) < n - 2:
-                continue
-            s = Segment.build(np.array([1]), [np.array([-1, *other])], [["b"]])
-            q, r = history.candidates(s, [np.array([-1, *words])])
-            assert q.tolist() == [0] and r.tolist() == [0]
+    vocabulary = [f"s{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    records = [("b", sorted(rng.sample(vocabulary, 40)), k) for k in range(400)]
+    s = Segment.build(records)
+    for _, ws, k in records[:30]:
+        changed = sorted([*rng.sample(ws, 38), "sxx", "syy"])
+        assert k in [s.numbers[x] for x in history.candidates(s, [("b", changed)])[1]]
+
+
+def test_a_batch_moves_its_own_rows_only(spark):
+    """The bytes that a small batch shuffles don't depend on the size of the history."""
+    from pyspark.sql import functions as F
+
+    def written(size):
+        rows = spark.range(size).select(F.col("id").alias("number"), F.concat(F.lit("block"), F.col("id") % 50).alias("block"), F.array(F.concat(F.lit("o"), F.sha2(F.col("id").cast("string"), 256))).alias("letters"))
+        h = history.History(spark, 8, spark.createDataFrame([], "block string, salts long"))
+        h.add(rows, search=False)
+        before = shuffled(spark)
+        h.add(rows.where("id < 100").withColumn("number", F.col("number") + 10**9))
+        moved = shuffled(spark) - before
+        assert {(r.number, r.first) for r in h.found().collect()} == {(10**9 + k, k) for k in range(100)}
+        h.drop()
+        return moved
+
+    small, large = written(2_000), written(20_000)
+    assert 0 < small and abs(large - small) < 0.02 * small
+
+
+def shuffled(spark):
+    """Bytes written to shuffles by this session so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
 
 
 def brute(rows):
