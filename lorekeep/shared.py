@@ -28,15 +28,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, parts: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: what follows forgets how it was made.
 
     Unlike a checkpoint, a table has sizes of its own. A checkpoint keeps the estimates of the plan it
     cut, and in an iteration of joins these are multiplied until they fill the driver's memory.
+    ``parts``: a column of few values to divide the table by, so that a filter on it reads only what it keeps.
     """
     path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(parts) if parts else df.write).parquet(path)
+    order = [c for c in df.columns if c != parts] + ([parts] if parts else [])
+    out = df.sparkSession.read.schema(df.select(*order).schema).parquet(path)
+    if parts:
+        out = out.select(*df.columns)
     out._scratch_path = path
     return out
 
@@ -47,11 +51,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``cut`` that nothing reads any more."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables made by ``cut`` that nothing reads any more; with ``part`` (``column=value``) only that part of them."""
     for df in tables:
         if path := df.__dict__.get("_scratch_path"):
-            remove(df.sparkSession, path)
+            remove(df.sparkSession, f"{path}/{part}" if part else path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
