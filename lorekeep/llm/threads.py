@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, discard
 from ..sources.tables import table
 
 # White space of any kind, zero-width space and byte-order mark.
@@ -17,60 +17,66 @@ def shows_nothing(text: Column) -> Column:
 
 
 def resolve(nodes: DataFrame) -> DataFrame:
-    """(node, root, depth, state) from (node, parent[, steps]), by iterative pointer jumping.
+    """(node, root, depth, state) from (node, parent), by iterative pointer jumping.
 
-    ``steps``: how far a node lies behind its parent, 1 if there is no such column. ``state`` is ``ok`` for a node
+    ``state`` is ``ok`` for a node
     whose ancestors end in a node without a parent (``depth`` 1 for that root itself), ``orphan`` where they end in a
     parent that no row has (root: the topmost existing ancestor; depth counts from it), ``cycle`` where they never end
     (root and depth null). ``node`` must be unique and non-null; a node that is its own parent is a cycle. An empty table gives an empty result.
 
     Every open node's pointer is replaced by its target's pointer and the distances add up, so paths
     of n nodes resolve in log2(n) joins; a target that is already resolved resolves at once. Only open
-    nodes are joined again, against the state of all.
+    nodes are joined again, against the state of all. Each round's tables are cut through the shared folder;
+    those of open nodes are deleted when the next round is done.
     """
-    steps = F.col("steps") if "steps" in nodes.columns else F.lit(1)
-    n = nodes.select("node", "parent", steps.cast("long").alias("steps"))
+    n = nodes.select("node", "parent")
     known = n.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
     start = n.join(known, "parent", "left")
     state = cut(
         start.select(
             "node",
             F.when(F.col("_known"), F.col("parent")).otherwise(F.col("node")).alias("up"),
-            F.when(F.col("_known"), F.col("steps")).otherwise(F.lit(0)).alias("dist"),
+            F.when(F.col("_known"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("dist"),
             F.coalesce("_known", F.lit(False)).alias("open"),
             (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("orphan"),
-        )
+        ),
+        parts="open",
     )
     rounds = max(1, state.count()).bit_length() + 1  # as many as a path through all nodes takes
-    done, live = state.where("not open"), state.where("open")
+    done, live, tables = state.where("not open"), state.where("open"), [state]
     for _ in range(rounds):
         if not live.take(1):
             break
         everyone = done.union(live).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_d"), F.col("open").alias("_open"), F.col("orphan").alias("_orphan"))
-        jumped = cut(
-            live.join(everyone, "up").select(
-                "node", F.col("_up").alias("up"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_open").alias("open"), F.col("_orphan").alias("orphan")
-            )
+        jumped = live.join(everyone, "up").select(
+            "node", F.col("_up").alias("up"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_open").alias("open"), F.col("_orphan").alias("orphan")
         )
+        jumped = cut(jumped, parts="open")
+        discard(tables[-1], part="open=true")
+        tables.append(jumped)
         done, live = done.union(jumped.where("not open")), jumped.where("open")
     ok = done.select("node", F.col("up").alias("root"), (F.col("dist") + 1).alias("depth"), F.when(F.col("orphan"), "orphan").otherwise("ok").alias("state"))
     return ok.union(live.select("node", F.lit(None).cast(dict(nodes.dtypes)["node"]), F.lit(None).cast("long"), F.lit("cycle")))
 
 
-def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str, chunk: str = "hour") -> tuple[DataFrame, DataFrame]:
-    """Rows that each answer the row before them in their thread by (``at``, ``node``), as (runs, rows).
+def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str) -> DataFrame:
+    """(node, parent): a pointer from each row to the row before it in its thread by (``at``, ``node``); null from a thread's first row.
 
-    ``runs``: (node, parent, steps) of the first row of each (thread, hour), its parent being the first row of the
-    hour before and ``steps`` the rows between: a chain of rows within an hour is contracted to its head, so pointers
-    are jumped over hours. ``rows``: (``node``, head, place), the place from 0 within the hour. A
-    very long thread is so sorted in many tasks.
+    The rows are sorted over the whole cluster by (thread, at, node) in ranges of equal size, so a thread that holds a third of
+    all rows, or all of its rows in one hour, is spread over many tasks like any other. Each range looks back within itself; the
+    first row of a range gets the last row of the range before from a table of one row a range.
     """
-    w = Window.partitionBy(thread, "_chunk").orderBy(at, node)
-    c = rows.select(thread, node, at).withColumn("_chunk", F.date_trunc(chunk, at))
-    placed = c.select(F.col(node), F.first(node).over(w).alias("head"), (F.row_number().over(w) - 1).cast("long").alias("place"))
-    heads = c.groupBy(thread, "_chunk").agg(F.min(F.struct(at, node))[node].alias("node"), F.count("*").alias("_n"))
-    over = Window.partitionBy(thread).orderBy("_chunk")
-    return heads.select("node", F.lag("node").over(over).alias("parent"), F.coalesce(F.lag("_n").over(over), F.lit(0)).alias("steps")), placed
+    ranges = rows.sparkSession.sparkContext.defaultParallelism * 2
+    r = rows.select(F.col(thread).alias("_t"), F.col(at).alias("_at"), F.col(node).alias("node"))
+    r = cut(r.repartitionByRange(ranges, "_t", "_at", "node").withColumn("_range", F.spark_partition_id()))
+    w = Window.partitionBy("_range").orderBy("_t", "_at", "node")
+    ends = r.groupBy("_range").agg(F.max(F.struct("_t", "_at", "node")).alias("_end"), F.min(F.struct("_t", "_at", "node"))["node"].alias("node"))
+    over = Window.orderBy("_range")  # one row a range
+    before = ends.select("node", F.lag("_end").over(over).alias("_end")).where("_end is not null")
+    inner = r.select("node", "_t", F.lag("node").over(w).alias("_before"), F.lag("_t").over(w).alias("_bt"))
+    joined = inner.join(F.broadcast(before), "node", "left")
+    same = F.when(F.col("_t") == F.coalesce(F.col("_bt"), F.col("_end._t")), F.coalesce(F.col("_before"), F.col("_end.node")))
+    return joined.select("node", same.alias("parent"))
 
 
 def role(peer: Column) -> Column:
@@ -87,7 +93,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     and left out; of copies (session, peer, time and content, null equal to null) the smallest id
     stays; rows whose content shows nothing go. A session is kept if, ``Other`` aside, its first row
     is by ``User`` and its last by ``Assistant``. Equal times are ordered by id. Each row's parent is
-    the row before it; the pointers are resolved by pointer jumping, over the first rows of hours, and a row's turn is its depth.
+    the row before it; the pointers of all rows are resolved by pointer jumping, and a row's turn is its depth on the path from its root.
     Orphans and cycles cannot arise from such pointers; were there any, they would be left out.
     An empty table gives an empty result; columns beyond the five used are ignored.
     """
@@ -101,9 +107,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     )
     whole = kept.join(voices.where("first = 'User' and last = 'Assistant'").select("session_name"), "session_name", "left_semi")
     whole = cut(whole)
-    runs, placed = reply_to_previous(whole, thread="session_name", node="id", at="created_at")
-    paths = resolve(runs).where("state = 'ok'").select(F.col("node").alias("head"), "depth")
-    turns = placed.join(paths, "head").select("id", (F.col("depth") + F.col("place")).alias("turn_no"))
+    discard(kept)
+    paths = resolve(reply_to_previous(whole, thread="session_name", node="id", at="created_at")).where("state = 'ok'")
+    turns = paths.select(F.col("node").alias("id"), F.col("depth").alias("turn_no"))
     return whole.join(turns, "id").select("session_name", "turn_no", F.col("id").alias("message_id"), "speaker")
 
 
@@ -112,6 +118,41 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(table(spark, folder, "messages"))
 
 
+def planted(messages: DataFrame) -> DataFrame:
+    """(node, parent) of all messages with a session and a time, each answering the row before it, with faults put in.
+
+    A row whose id is divisible by 97 answers a message that doesn't exist; the first row of a session answers its last row if its own id
+    is divisible by 3. The second is a cycle, unless one of the first kind stands between them.
+    """
+    m = messages.where("session_name is not null and created_at is not null").select("session_name", "id", "created_at")
+    links = reply_to_previous(m, thread="session_name", node="id", at="created_at")
+    sessions = m.groupBy("session_name").agg(F.min(F.struct("created_at", "id"))["id"].alias("node"), F.max(F.struct("created_at", "id"))["id"].alias("_last"))
+    faulty = links.join(sessions.select("node", "_last"), "node", "left")
+    parent = F.when(F.col("node") % 97 == 0, -F.col("node")).when(F.col("_last").isNotNull() & (F.col("node") % 3 == 0), F.col("_last")).otherwise(F.col("parent"))
+    return faulty.select("node", parent.alias("parent"))
+
+
+def p4_states(spark: SparkSession, folder: str) -> DataFrame:
+    """(node, root, depth, state) of every message under reply pointers with planted orphans and cycles."""
+    return resolve(planted(table(spark, folder, "messages")))
+
+
+# Along a session a new path starts at its first row and at every orphan; a first row that points to the last one continues
+# the last path, or closes a cycle if that is its own.
+P4_STATES_SQL = """
+WITH m AS (SELECT session_name, id, created_at, row_number() OVER w AS k, first(id) OVER w AS head
+  FROM messages WHERE session_name IS NOT NULL AND created_at IS NOT NULL WINDOW w AS (PARTITION BY session_name ORDER BY created_at, id)),
+p AS (SELECT *, count(*) FILTER (id % 97 = 0 OR k = 1) OVER (PARTITION BY session_name ORDER BY k) AS path FROM m),
+q AS (SELECT *, max(path) OVER (PARTITION BY session_name) AS last_path, min(k) OVER (PARTITION BY session_name, path) AS k0,
+  first(id) OVER (PARTITION BY session_name, path ORDER BY k) AS top, max(k) OVER (PARTITION BY session_name) AS n,
+  head % 97 <> 0 AND head % 3 = 0 AS turned FROM p),
+t AS (SELECT DISTINCT session_name, top AS last_top, k0 AS last_k0 FROM q WHERE path = last_path)
+SELECT id AS node,
+  CASE WHEN path > 1 OR NOT turned THEN top WHEN last_path = 1 THEN NULL ELSE last_top END AS root,
+  CASE WHEN path > 1 OR NOT turned THEN k - k0 + 1 WHEN last_path = 1 THEN NULL ELSE k + n - last_k0 + 1 END AS depth,
+  CASE WHEN path > 1 THEN 'orphan' WHEN turned THEN CASE WHEN last_path = 1 THEN 'cycle' ELSE 'orphan' END WHEN head % 97 = 0 THEN 'orphan' ELSE 'ok' END AS state
+FROM q JOIN t USING (session_name)
+"""
 P4_SQL = r"""
 WITH m AS (SELECT * FROM messages WHERE session_name IS NOT NULL AND NOT regexp_full_match(session_name, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*')),
 ok AS (SELECT * FROM m WHERE session_name NOT IN (SELECT session_name FROM m WHERE created_at IS NULL)),
@@ -126,5 +167,5 @@ kept AS (SELECT session_name FROM (
 SELECT session_name, row_number() OVER (PARTITION BY session_name ORDER BY created_at, id) AS turn_no, id AS message_id, speaker
 FROM said WHERE session_name IN (SELECT session_name FROM kept)
 """
-QUERIES = {"p4_found": p4_found}
-SQL = {"p4_found": P4_SQL}
+QUERIES = {"p4_found": p4_found, "p4_states": p4_states}
+SQL = {"p4_found": P4_SQL, "p4_states": P4_STATES_SQL}

@@ -20,12 +20,6 @@ def test_chain_tree_orphans_and_cycles(spark):
     assert len(got) == len(rows)
 
 
-def test_steps_add_up(spark):
-    rows = [(1, None, 0), (5, 1, 4), (9, 5, 4), (12, 9, 3), (30, 29, 7)]
-    got = {r.node: (r.root, r.depth, r.state) for r in threads.resolve(spark.createDataFrame(rows, "node long, parent long, steps long")).collect()}
-    assert got == {1: (1, 1, "ok"), 5: (1, 5, "ok"), 9: (1, 9, "ok"), 12: (1, 12, "ok"), 30: (30, 1, "orphan")}
-
-
 def test_no_rows(spark):
     assert threads.resolve(spark.createDataFrame([], "node long, parent long")).count() == 0
     assert threads.conversations(spark.createDataFrame([], DDL)).count() == 0
@@ -52,6 +46,17 @@ def test_copies_ties_and_order_of_arrival(spark):
     assert turns(spark, rows) == [("s", 1, 6, "User"), ("s", 2, 9, "User"), ("s", 3, 4, "Assistant"), ("s", 4, 5, "Assistant")]
 
 
+def test_a_session_within_one_hour_is_spread_over_many_tasks(spark):
+    rows = [(i, "hot", T + dt.timedelta(seconds=(i * 7919) % 3000)) for i in range(1, 2001)] + [(i, f"s{i % 50}", T) for i in range(2001, 3001)]
+    df = spark.createDataFrame(rows, "id long, session_name string, created_at timestamp_ntz")
+    got = {r.node: r.parent for r in threads.reply_to_previous(df, thread="session_name", node="id", at="created_at").collect()}
+    wanted, last = {}, {}
+    for i, s, t in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        wanted[i] = last.get(s)
+        last[s] = i
+    assert got == wanted
+
+
 def test_long_session_over_many_hours(spark):
     rows = [(i, "long", "user" if i % 2 else "assistant", "x" * (i % 3 + 1) + str(i), 7 * i) for i in range(1, 301)]
     got = turns(spark, rows)
