@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import cut, discard
 from ..sources.tables import table
 from .words import WORD, word_sequence
 
@@ -35,32 +35,37 @@ def _same_multiset(a: Column, b: Column) -> Column:
 
 
 def copies(records: DataFrame, *, number: str, same: dict[str, Column], fields: Column) -> DataFrame:
-    """(first, number) for every record that has an equal; ``first`` is the smallest number of the records it equals, itself included.
+    """(first, number) for every record; ``first`` is the smallest number of the records it equals, itself included.
 
     Records are equal if each named value of ``same`` is equal (null equals null) and ``fields``, an
     array of strings, holds the same strings as often in any order. Each (field name, value) pair is
     hashed, the hashes are combined by a commutative sum in two independent 62-bit halves, records are
     grouped by that fingerprint, and each is compared with the first of its group, field by field and
-    without sorting; what differs from it in spite of the fingerprint is grouped by its sorted fields.
+    without sorting; what differs from it in spite of the fingerprint is fingerprinted again with other hashes, until nothing is left.
 
-    A hot group of copies is reduced to (fingerprint, first, count) map-side; its members then meet
-    that one row in a join, which adaptive execution splits. Nothing is collected into an array.
-    Null ``fields`` count as empty. An empty table gives an empty result.
+    The records' fields are computed once and cut. A hot group of copies is reduced to (fingerprint, first, count)
+    map-side; its members then meet that one row in a join, which adaptive execution splits. Nothing is collected into an array.
+    Null ``fields`` count as empty. An empty table gives an empty result. ``number`` must be unique; rows whose number repeats are rows of their own.
     """
     tagged = [F.array(F.concat(F.lit(name + "\x01"), F.coalesce(c.cast("string"), F.lit("\x00")))) for name, c in same.items()]
     body = F.coalesce(fields, F.array().cast("array<string>"))
     rows = records.select(F.col(number).alias("_no"), body.alias("_f"), F.concat(*tagged).alias("_k"))
-    every = F.concat("_k", F.transform("_f", lambda x: F.concat(F.lit("\x02"), x)))
-    rows = rows.select("_no", "_f", "_k", _multiset_hash(every, "a").alias("_h1"), _multiset_hash(every, "b").alias("_h2"))
-    groups = rows.groupBy("_h1", "_h2").agg(F.min("_no").alias("_first"), F.count("*").alias("_n"))
-    members = rows.join(groups.where("_n > 1"), ["_h1", "_h2"])
-    leaders = members.where("_no = _first").select("_h1", "_h2", F.col("_f").alias("_lf"), F.col("_k").alias("_lk"))
-    judged = members.join(leaders, ["_h1", "_h2"]).withColumn("_ok", (F.col("_k") == F.col("_lk")) & _same_multiset(F.col("_f"), F.col("_lf")))
-    judged = cut(judged.select("_no", "_first", "_h1", "_h2", "_ok", F.when(~F.col("_ok"), F.struct("_k", F.array_sort("_f"))).alias("_exact")))
-    clash = judged.where("not _ok").groupBy("_h1", "_h2", "_exact").agg(F.min("_no").alias("_own"))
-    apart = judged.where("not _ok").join(clash, ["_h1", "_h2", "_exact"]).select("_no", F.col("_own").alias("_first"))
-    together = judged.where("_ok").select("_no", "_first").union(apart)
-    return together.select(F.col("_first").alias("first"), F.col("_no").alias("number"))
+    out, seed = None, 0
+    while True:
+        every = F.concat("_k", F.transform("_f", lambda x: F.concat(F.lit("\x02"), x)))
+        rows = cut(rows.select("_no", "_f", "_k", _multiset_hash(every, f"a{seed}").alias("_h1"), _multiset_hash(every, f"b{seed}").alias("_h2")))
+        groups = rows.groupBy("_h1", "_h2").agg(F.min("_no").alias("_first"), F.count("*").alias("_n"))
+        leaders = rows.join(groups.where("_n > 1"), ["_h1", "_h2"]).where("_no = _first").groupBy("_h1", "_h2", "_first").agg(F.first(F.struct("_f", "_k")).alias("_l"))
+        judged = rows.join(leaders.select("_h1", "_h2", "_first", F.col("_l._f").alias("_lf"), F.col("_l._k").alias("_lk")), ["_h1", "_h2"], "left")
+        ok = F.col("_lk").isNull() | ((F.col("_k") == F.col("_lk")) & _same_multiset(F.col("_f"), F.col("_lf")))
+        judged = judged.select("_no", F.coalesce("_first", "_no").alias("_first"), ok.alias("_ok"), F.when(~ok, F.col("_f")).alias("_f"), F.when(~ok, F.col("_k")).alias("_k"))
+        done, seed = cut(judged), seed + 1
+        discard(rows)
+        same_ = done.where("_ok").select(F.col("_first").alias("first"), F.col("_no").alias("number"))
+        out = same_ if out is None else out.union(same_)
+        rows = done.where("not _ok").select("_no", "_f", "_k")
+        if not rows.take(1):
+            return out
 
 
 def _fact_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,11 +86,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: its first fact, and how many copies it has in all, itself included."""
-    facts = table(spark, folder, "facts").select("fact_no", "statement").where(F.size(statement_fields(F.col("statement"))) > 0)
-    repeated = _fact_copies(spark, folder)
-    counted = repeated.groupBy(F.col("first").alias("fact_no")).agg(F.count("*").alias("copies"))
-    repeats = repeated.where("first < number").select(F.col("number").alias("fact_no"))
-    return facts.select("fact_no").join(repeats, "fact_no", "left_anti").join(counted, "fact_no", "left").select("fact_no", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    return _fact_copies(spark, folder).groupBy(F.col("first").alias("fact_no")).agg(F.count("*").alias("copies"))
 
 
 _RECORDS = r"""
