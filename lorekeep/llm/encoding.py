@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -28,21 +29,36 @@ LEXICON_BYTES = 48  # longer words are merged, never looked up
 # Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PATTERN = regex.compile(SPLIT)
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space as the pattern knows it
+# Chunks: white space and what stands between it. No word of the pattern reaches beyond its chunk, as only a single space before others joins them.
+_CHUNK = re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _SLICE = 400_000  # characters split at a time
-_MEMO = 150_000  # words remembered by a worker
+_MEMO = 150_000  # words, and chunks, remembered by a worker
+_MEMO_CHARS = 8_000_000  # and their characters
 
 
-def word_runs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(text's place, its words) in order; a very long text comes in several runs of words."""
+def chunk_runs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(text's place, its chunks) in order; a very long text comes in several runs of chunks."""
     for k, text in enumerate(texts):
         if len(text) <= 4 * _SLICE:
-            yield k, _PATTERN.findall(text)
+            yield k, _CHUNK.findall(text)
         else:
-            found = (m.group() for m in _PATTERN.finditer(text))
+            found = (m.group() for m in _CHUNK.finditer(text))
             while run := list(islice(found, _SLICE // 2)):
                 yield k, run
 
 
+class Memo(dict):
+    """What is known of strings; emptied by ``room`` when it holds too much."""
+
+    chars = 0
+
+    def room(self) -> None:
+        if len(self) > _MEMO or self.chars > _MEMO_CHARS:
+            self.clear()
+            self.chars = 0
+
+
 class Encoder:
     """Words to ids: the transducer for frequent words, exact merges for all others."""
 
@@ -51,33 +67,44 @@ class Encoder:
 
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self._merge = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=table_, special_tokens={})._core_bpe.encode_single_piece
-        self.lexicon, self.memo = lexicon, {}
+        self.lexicon, self.words, self.chunks = lexicon, Memo(), Memo()
 
-    def learn(self, words: set[str]) -> dict[str, list[int]]:
+    def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of every word of ``words``, among others."""
-        if len(self.memo) > _MEMO:
-            self.memo = {}
-        new = [w for w in words if w not in self.memo]
+        self.words.room()
+        new = [w for w in words if w not in self.words]
         raw = [w.encode("utf-8", "replace") for w in new]
         places = self.lexicon.find(raw).tolist() if self.lexicon else [-1] * len(new)
         for w, b, p in zip(new, raw, places):
-            self.memo[w] = self._merge(b) if p < 0 else self.lexicon.sequence(p)
-        return self.memo
+            self.words[w] = self._merge(b) if p < 0 else self.lexicon.sequence(p)
+        self.words.chars += sum(map(len, new))
+        return self.words
+
+    def learn_chunks(self, chunks: set[str]) -> dict[str, list[int]]:
+        """The ids of every chunk of ``chunks``, among others: those of its words."""
+        self.chunks.room()
+        new = [c for c in chunks if c not in self.chunks]
+        split = [_PATTERN.findall(c) for c in new]
+        words = self.learn(dict.fromkeys(chain.from_iterable(split)))
+        for c, ws in zip(new, split):
+            self.chunks[c] = words[ws[0]] if len(ws) == 1 else [i for w in ws for i in words[w]]
+        self.chunks.chars += sum(map(len, new))
+        return self.chunks
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in texts]
         held: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
-            memo = self.learn(set(chain.from_iterable(ws for _, ws in held)))
-            for k, ws in held:
-                out[k].extend(chain.from_iterable(map(memo.__getitem__, ws)))
+            memo = self.learn_chunks(set(chain.from_iterable(cs for _, cs in held)))
+            for k, cs in held:
+                out[k].extend(chain.from_iterable(map(memo.__getitem__, cs)))
             held.clear()
 
         n = 0
-        for k, ws in word_runs(texts):
-            held.append((k, ws))
-            n += len(ws)
+        for k, cs in chunk_runs(texts):
+            held.append((k, cs))
+            n += len(cs)
             if n > _SLICE // 4:
                 flush()
                 n = 0
@@ -100,18 +127,25 @@ def encoder(ranks_file: str, lexicon_file: str | None) -> Encoder:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+    chunks: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
-        rows = [(w, n) for w, n in counts.items() if len(w) <= LEXICON_BYTES]
-        counts.clear()
+        words: Counter[str] = Counter()
+        for chunk, n in chunks.items():
+            for w in _PATTERN.findall(chunk):
+                words[w] += n
+        chunks.clear()
+        rows = [(w, n) for w, n in words.items() if len(w) <= LEXICON_BYTES]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
+    held = 0
     for batch in batches:
-        for _, run in word_runs([t for t in batch.column(0).to_pylist() if t]):
-            counts.update(run)
-            if len(counts) > 2 * _MEMO:
+        for _, run in chunk_runs([t for t in batch.column(0).to_pylist() if t]):
+            chunks.update(run)
+            held += len(run)
+            if len(chunks) > 2 * _MEMO or held > 64 * _SLICE:
                 yield out()
+                held = 0
     yield out()
 
 

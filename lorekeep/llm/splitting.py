@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .encoding import Encoder, Tokenizer, corpus, encoder, word_runs
+from .encoding import _PATTERN, Encoder, Memo, Tokenizer, chunk_runs, corpus, encoder
 
 LIMIT, LEAST, OVERLAP = 512, 256, 64
 _WINDOW = 4  # words under the rolling hash
@@ -20,54 +21,86 @@ _PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*$|\r\n\r\n\s*$")
 _SENTENCE = regex.compile(r"[.!?…;:]+[\"'»”)\]]*$")
 
 
-def _divide(words: list[str], sizes: list[int], e: Encoder) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words with very long ones divided: units, their numbers of tokens, and how many divided ones come before each."""
-    if max(sizes) <= _LONG:
-        return words, np.array(sizes, np.int64), np.zeros(len(words) + 1, np.int64)
-    units, out, part, known = [], [], [], {}
-    for w, n in zip(words, sizes):
-        if n <= _LONG:
-            units.append(w)
-            out.append(n)
-            part.append(0)
-        else:
-            cut = [w[k : k + _LONG] for k in range(0, len(w), _LONG)]
-            for p in cut:
-                if p not in known:
-                    known[p] = len(e._merge(p.encode("utf-8", "replace")))
-            units += cut
-            out += [known[p] for p in cut]
-            part += [1] * len(cut)
-    return units, np.array(out, np.int64), np.append(0, np.cumsum(part))
-
-
-def _strength(units: list[str], low: int, high: int) -> np.ndarray:
-    """Of the places before units ``low`` to ``high``: 4 paragraph, 3 line, 2 sentence, 1 white space, 0 inside a word or right before punctuation."""
-    rank = np.zeros(high - low + 1, np.int64)
-    for k in range(low, high + 1):
-        before, here = units[k - 1], units[k]
-        if "\n" in before or "\r" in before:
-            rank[k - low] = 4 if _PARAGRAPH.search(before) or (k > 1 and "\n" in units[k - 2] and before.isspace()) else 3
-        elif here[0].isspace():
-            rank[k - low] = 2 if _SENTENCE.search(before) else 1
-        elif before.isspace():
-            rank[k - low] = 1
+_LINE, _PAR, _LED, _BLANK_ONLY, _ENDS = 1, 2, 4, 8, 16
+
+
+class Units:
+    """Numbers for the words met by a worker, with what splitting needs to know of each: tokens, characters, hash and kind of boundary."""
+
+    def __init__(self, e: Encoder):
+        self.e, self.codes, self.chunks = e, {}, Memo()
+        self.facts: list[tuple[int, int, int, int]] = []
+        self.table = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+
+    def code(self, words: list[str]) -> list[int]:
+        new = [w for w in dict.fromkeys(words) if w not in self.codes]
+        ids = self.e.learn(new)
+        for w in new:
+            self.codes[w] = len(self.facts)
+            kind = ("\n" in w or "\r" in w) * _LINE | bool(_PARAGRAPH.search(w)) * _PAR | w[:1].isspace() * _LED | w.isspace() * _BLANK_ONLY | bool(_SENTENCE.search(w)) * _ENDS
+            self.facts.append((len(ids[w]), len(w), kind, crc32(w.encode("utf-8", "replace"))))
+        return [self.codes[w] for w in words]
+
+    def of(self, text: str) -> np.ndarray:
+        """The words of a text, as numbers of this table."""
+        self.chunks.room()
+        if not self.chunks:
+            self.codes.clear()
+            self.facts.clear()
+            self.table = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        runs = [cs for _, cs in chunk_runs([text])]
+        for c in set(chain.from_iterable(runs)):
+            if c not in self.chunks:
+                self.chunks[c] = self.code(_PATTERN.findall(c))
+                self.chunks.chars += len(c)
+        return np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chain.from_iterable(runs))), np.int64)
+
+    def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, characters, kinds, hashes) of units."""
+        if len(self.table[1]) < len(self.facts):
+            more = self.facts[len(self.table[1]) :]
+            small, hashes = np.array([f[:3] for f in more], np.int64), np.array([f[3] for f in more], np.uint64)
+            self.table = np.concatenate([self.table[0], small]), np.concatenate([self.table[1], hashes])
+        rows = self.table[0][codes]
+        return rows[:, 0], rows[:, 1], rows[:, 2], self.table[1][codes]
+
+
+def _divide(codes: np.ndarray, sizes: np.ndarray, chars: np.ndarray, text: str, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The words with very long ones divided into parts of a few characters, and how many such parts come before each unit."""
+    long_ = np.flatnonzero(sizes > _LONG)
+    if not len(long_):
+        return codes, np.zeros(len(codes) + 1, np.int64)
+    place, out, part, at = np.append(0, np.cumsum(chars)), [], [], 0
+    for k in long_.tolist():
+        w = text[place[k] : place[k + 1]]
+        cut = units.code([w[j : j + _LONG] for j in range(0, len(w), _LONG)])
+        out += [codes[at:k], cut]
+        part += [np.zeros(k - at, np.int64), np.ones(len(cut), np.int64)]
+        at = k + 1
+    return np.concatenate([*out, codes[at:]]), np.append(0, np.cumsum(np.concatenate([*part, np.zeros(len(codes) - at, np.int64)])))
+
+
+def _strength(kind: np.ndarray) -> np.ndarray:
+    """Of the place before each unit: 4 paragraph, 3 line, 2 sentence, 1 white space, 0 inside a word or right before punctuation."""
+    rank = np.zeros(len(kind) + 1, np.int64)
+    before, here = kind[:-1], kind[1:]
+    wide = (before & _PAR) > 0
+    wide[1:] |= ((kind[:-2] & _LINE) > 0) & ((before[1:] & _BLANK_ONLY) > 0)
+    led = np.where(here & _LED, np.where(before & _ENDS, 2, 1), (before & _BLANK_ONLY) > 0)
+    rank[1:-1] = np.where(before & _LINE, np.where(wide, 4, 3), led)
     return rank
 
 
-def _landmarks(units: list[str], low: int, high: int) -> np.ndarray:
-    """A rolling hash of the words before each of the places ``low`` to ``high``; it depends on them alone."""
-    first = max(0, low - _WINDOW)
-    h = np.array([crc32(u.encode("utf-8", "replace")) for u in units[first:high]], np.uint64)
-    out, at = np.zeros(high - low + 1, np.uint64), np.arange(low, high + 1) - first
+def _landmarks(h: np.ndarray) -> np.ndarray:
+    """A rolling hash of the words before each place; it depends on them alone."""
+    out = np.zeros(len(h) + 1, np.uint64)
     for back in range(1, _WINDOW + 1):
-        ok = at >= back
-        out[ok] += h[at[ok] - back] * (_MIX ** np.uint64(back))
+        out[back:] += h[: len(h) + 1 - back] * (_MIX ** np.uint64(back))
     out ^= out >> np.uint64(29)
     return out * _MIX
 
 
-def split_text(text: str, e: Encoder, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+def split_text(text: str, known: Units, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, tokens shared with the piece before) of each piece, in characters of the text.
 
     A piece ends between ``least`` and ``limit`` tokens after its start, at the natural boundary nearest
@@ -77,14 +110,14 @@ def split_text(text: str, e: Encoder, limit: int = LIMIT, least: int = LEAST, ov
     landmark itself, inside the long word. Landmarks depend on nearby words only, so an edit moves
     the cuts next to it and later ones fall into place again.
     """
-    words = [w for _, run in word_runs([text]) for w in run]
-    memo = e.learn(set(words))
-    sizes = [len(memo[w]) for w in words]
-    if (whole := sum(sizes)) <= limit:
+    codes = known.of(text)
+    sizes, chars, _, _ = known.look(codes)
+    if (whole := int(sizes.sum())) <= limit:
         return [(0, len(text), whole, 0)]
-    units, sizes, divided = _divide(words, sizes, e)
-    total = np.append(0, np.cumsum(sizes))
-    place = np.append(0, np.cumsum([len(u) for u in units]))
+    codes, divided = _divide(codes, sizes, chars, text, known)
+    sizes, chars, kind, hashes = known.look(codes)
+    total, place, n_units = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(chars)), len(codes)
+    strengths, marks, blank = _strength(kind), _landmarks(hashes), (kind & _BLANK_ONLY) > 0
 
     def count(a: int, b: int) -> int:
         """Tokens of the units a to b as a text by itself. It splits into the same words up to the white space at its end,
@@ -92,20 +125,20 @@ def split_text(text: str, e: Encoder, limit: int = LIMIT, least: int = LEAST, ov
         tail = b
         if divided[a] != divided[b]:
             tail = a
-        while tail > a and units[tail - 1].isspace():
+        while tail > a and blank[tail - 1]:
             tail -= 1
-        return int(total[tail] - total[a]) + (len(e.encode([text[place[tail] : place[b]]])[0]) if tail < b else 0)
+        return int(total[tail] - total[a]) + (len(known.e.encode([text[place[tail] : place[b]]])[0]) if tail < b else 0)
 
     pieces, start, end, shared = [], 0, 0, 0
-    while end < len(units):
+    while end < n_units:
         high = int(np.searchsorted(total, total[start] + limit, "right")) - 1
-        if high >= len(units):
-            stop = len(units)
+        if high >= n_units:
+            stop = n_units
         else:
             low = max(int(np.searchsorted(total, total[start] + least)), end + 1)
             low = min(low, high)
-            mark = low + int(np.argmin(_landmarks(units, low, high)))
-            strength = _strength(units, low, high)
+            mark = low + int(np.argmin(marks[low : high + 1]))
+            strength = strengths[low : high + 1]
             near = low + np.flatnonzero(strength == strength.max())
             stop = int(near[np.argmin(np.abs(total[near] - total[mark]))])
         stop = max(stop, end + 1)
@@ -129,14 +162,14 @@ def split(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str, limit: int
     ranks, lexicon = tokenizer.ranks, tokenizer.lexicon
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(ranks, lexicon)
+        known = Units(encoder(ranks, lexicon))
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text]):
                 if t is None or t != t or t == "":
                     rows.append((k, 1, 0, 0, 0, 0, t if t == "" else None))
                     continue
-                rows += [(k, i, a, b, n, s, t[a:b]) for i, (a, b, n, s) in enumerate(split_text(t, e, limit, least, overlap), 1)]
+                rows += [(k, i, a, b, n, s, t[a:b]) for i, (a, b, n, s) in enumerate(split_text(t, known, limit, least, overlap), 1)]
                 if len(rows) > 2000:
                     yield _frame(rows, key)
                     rows = []

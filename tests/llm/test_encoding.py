@@ -83,8 +83,15 @@ def test_other_vocabulary_and_no_rows(spark, docs):
 def test_very_long_text_in_runs(monkeypatch):
     monkeypatch.setattr(encoding, "_SLICE", 10)
     text = "one two  three\n" * 50
-    runs = [w for _, r in encoding.word_runs([text]) for w in r]
-    assert "".join(runs) == text and runs == encoding._PATTERN.findall(text)
+    runs = [c for _, r in encoding.chunk_runs([text]) for c in r]
+    assert "".join(runs) == text and [w for c in runs for w in encoding._PATTERN.findall(c)] == encoding._PATTERN.findall(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(" \t\n\r\x1c\x85\xa0\u2028\u3000\u200b'sab1½²é.-🙂жЖ\u0301"), max_size=40))
+def test_words_stay_within_their_chunks(text):
+    chunks = [c for _, r in encoding.chunk_runs([text]) for c in r]
+    assert "".join(chunks) == text and [w for c in chunks for w in encoding._PATTERN.findall(c)] == encoding._PATTERN.findall(text)
 
 
 def test_frequent_words_count_all_rows(docs):
@@ -149,7 +156,7 @@ def test_pack(spark):
 @pytest.fixture(scope="module")
 def plain():
     with open(f"{encoding.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
-        return encoding.Encoder(f.read(), None)
+        return splitting.Units(encoding.Encoder(f.read(), None))
 
 
 def sentences(seed, n):
