@@ -17,6 +17,7 @@ LIMIT, LEAST, OVERLAP = 512, 256, 64
 _WINDOW = 4  # words under the rolling hash
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LONG = 24  # tokens; a longer word is divided
+_TOGETHER = 1_000_000  # characters of texts looked up together
 _PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*$|\r\n\r\n\s*$")
 _SENTENCE = regex.compile(r"[.!?…;:]+[\"'»”)\]]*$")
 
@@ -41,19 +42,24 @@ class Units:
             self.facts.append((len(ids[w]), len(w), kind, crc32(w.encode("utf-8", "replace"))))
         return [self.codes[w] for w in words]
 
-    def of(self, text: str) -> np.ndarray:
-        """The words of a text, as numbers of this table."""
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text, as numbers of this table; valid until the next call."""
         self.chunks.room()
         if not self.chunks:
             self.codes.clear()
             self.facts.clear()
             self.table = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
-        runs = [cs for _, cs in chunk_runs([text])]
-        for c in set(chain.from_iterable(runs)):
-            if c not in self.chunks:
-                self.chunks[c] = self.code(_PATTERN.findall(c))
-                self.chunks.chars += len(c)
-        return np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chain.from_iterable(runs))), np.int64)
+        runs: list[list[list[str]]] = [[] for _ in texts]
+        for k, cs in chunk_runs(texts):
+            runs[k].append(cs)
+        new = [c for c in set(chain.from_iterable(chain.from_iterable(runs))) if c not in self.chunks]
+        split = [_PATTERN.findall(c) for c in new]
+        self.code(list(chain.from_iterable(split)))
+        for c, ws in zip(new, split):
+            self.chunks[c] = [self.codes[w] for w in ws]
+        self.chunks.chars += sum(map(len, new))
+        known = self.chunks.__getitem__
+        return [np.array(list(chain.from_iterable(map(known, chain.from_iterable(r)))), np.int64) for r in runs]
 
     def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, characters, kinds, hashes) of units."""
@@ -100,7 +106,7 @@ def _landmarks(h: np.ndarray) -> np.ndarray:
     return out * _MIX
 
 
-def split_text(text: str, known: Units, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+def split_text(text: str, known: Units, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP, codes: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """(start, end, tokens, tokens shared with the piece before) of each piece, in characters of the text.
 
     A piece ends between ``least`` and ``limit`` tokens after its start, at the natural boundary nearest
@@ -108,9 +114,9 @@ def split_text(text: str, known: Units, limit: int = LIMIT, least: int = LEAST,
     Stronger boundaries (paragraph, line, sentence, white space) come before weaker ones. The next piece
     starts where the shared words hold ``overlap`` tokens at least. Where no boundary exists, the cut is the
     landmark itself, inside the long word. Landmarks depend on nearby words only, so an edit moves
-    the cuts next to it and later ones fall into place again.
+    the cuts next to it and later ones fall into place again. ``codes``: the text's words, where ``known`` has just given them.
     """
-    codes = known.of(text)
+    codes = known.of([text])[0] if codes is None else codes
     sizes, chars, _, _ = known.look(codes)
     if (whole := int(sizes.sum())) <= limit:
         return [(0, len(text), whole, 0)]
@@ -164,17 +170,21 @@ def split(docs: DataFrame, tokenizer: Tokenizer, key: str, text: str, limit: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Units(encoder(ranks, lexicon))
         for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                if t is None or t != t or t == "":
-                    rows.append((k, 1, 0, 0, 0, 0, t if t == "" else None))
-                    continue
-                rows += [(k, i, a, b, n, s, t[a:b]) for i, (a, b, n, s) in enumerate(split_text(t, known, limit, least, overlap), 1)]
-                if len(rows) > 2000:
-                    yield _frame(rows, key)
-                    rows = []
-            if rows:
+            keys, texts = batch[key].tolist(), [None if t is None or t != t else t for t in batch[text]]
+            at = 0
+            while at < len(texts):
+                stop, chars = at, 0
+                while stop < len(texts) and (stop == at or chars + len(texts[stop] or "") <= _TOGETHER):
+                    chars += len(texts[stop] or "")
+                    stop += 1
+                rows = []
+                for k, t, codes in zip(keys[at:stop], texts[at:stop], known.of([t or "" for t in texts[at:stop]])):
+                    if not t:
+                        rows.append((k, 1, 0, 0, 0, 0, t))
+                    else:
+                        rows += [(k, i, a, b, n, s, t[a:b]) for i, (a, b, n, s) in enumerate(split_text(t, known, limit, least, overlap, codes), 1)]
                 yield _frame(rows, key)
+                at = stop
 
     chosen = docs.select(key, text)
     kind = dict(chosen.dtypes)[key]
