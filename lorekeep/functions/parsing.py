@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ def parse_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
 
     Unknown domains become WORLD, unknown scopes PROJECT; kind PSYCHE means domain PSYCHE; an unknown
     kind is STATE if predicate and object are there, else NARRATIVE. Evidence ids may be numbers or
-    numeric texts, others are skipped. A fact with neither subject nor statement is dropped. Null, empty
-    and unreadable answers have no facts.
+    numeric texts, others are skipped. Subject, predicate, object and statement are trimmed. A fact with neither subject nor statement is dropped. Null, empty
+    and unreadable answers have no facts; ``readable`` tells the last from those that truly hold none.
     """
     body = answers.select(key, json_body(F.col(text)).alias("_b"))
     array, wrapped = F.ltrim("_b").startswith("["), F.from_json("_b", f"facts {_ARRAY}")["facts"]
@@ -43,13 +46,29 @@ def parse_facts(answers: DataFrame, key: str, text: str) -> DataFrame:
         F.coalesce(known, F.when(full, F.lit("STATE")).otherwise("NARRATIVE")).alias("kind"),
         F.when((kind == "PSYCHE") | (domain == "PSYCHE"), "PSYCHE").otherwise("WORLD").alias("domain"),
         F.when(scope.isin("SESSION", "PROJECT", "USER"), scope).otherwise("PROJECT").alias("scope"),
-        "f.subject", "f.predicate", "f.object", "f.statement",
+        *[F.regexp_replace(f"f.{c}", r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias(c) for c in ("subject", "predicate", "object", "statement")],
         F.coalesce("f.conditions", F.create_map().cast("map<string,string>")).alias("conditions"),
         F.filter(F.transform(ids, lambda x: F.trim(x).try_cast("bigint")), lambda x: x.isNotNull()).alias("evidence"),
     )
     return out.where(blank_to_null(F.col("subject")).isNotNull() | blank_to_null(F.col("statement")).isNotNull())
 
 
+def readable(answer: str | None) -> bool:
+    """Whether an answer holds whole JSON, a list or an object, inside fences or prose."""
+    text = answer or ""
+    if m := re.search(r"```[A-Za-z]*\s*(.*?)(?:```|\Z)", text, re.S):
+        text = m[1] if re.search(r"[\[{]", m[1]) else text
+    at = re.search(r"[\[{]", text)
+    if not at:
+        return False
+    end = text.rfind("]" if at[0] == "[" else "}")
+    try:
+        json.loads(text[at.start() : end + 1])
+    except ValueError:
+        return False
+    return True
+
+
 def judge_verdict(c: Column) -> Column:
     """struct(a_pass, b_pass, reason) out of a judge's answer; null if there is no readable JSON in it."""
     return F.from_json(json_body(c), "a_pass boolean, b_pass boolean, reason string")

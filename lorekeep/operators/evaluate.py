@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_span, hit, matches_marker, missed
+from ..functions.text import contains_span, hit, marker_in, missed, prepared
 
 
 def verdict(answer: Column, must: Column, must_not: Column) -> Column:
@@ -71,6 +71,11 @@ def overlay(verdicts: DataFrame, judged: DataFrame) -> DataFrame:
     return verdicts.join(j, "point_id", "left").select("point_id", F.coalesce("_a", "a_pass").alias("a_pass"), F.coalesce("_b", "b_pass").alias("b_pass"), "leak")
 
 
+def _some(texts: Column, markers: Column) -> Column:
+    """Whether any marker occurs in any of the texts, each of which is prepared once."""
+    return F.exists(F.transform(texts, prepared), lambda t: F.exists(markers, lambda m: marker_in(t, m)))
+
+
 def span_status(trigger: Column, message: Column, truth: Column, anchor: Column, anchor_id: Column, message_id: Column, level: Column, must: Column, must_not: Column, window: Column, skip: Column) -> Column:
     """Status of an exam point, the first that applies: skip, span-miss, in-window, marker-collision, causality, unanchored, ok.
 
@@ -80,8 +85,8 @@ def span_status(trigger: Column, message: Column, truth: Column, anchor: Column,
     """
     empty = F.array().cast("array<string>")
     branch = F.coalesce(F.when(level == "C", must_not).otherwise(must), empty)
-    inside = F.exists(branch, lambda m: F.exists(window, lambda t: matches_marker(t, m)))
-    clash = F.exists(F.coalesce(must_not, empty), lambda x: F.exists(F.coalesce(must, empty), lambda y: matches_marker(y, x)))
+    inside = _some(window, branch)
+    clash = _some(F.coalesce(must, empty), F.coalesce(must_not, empty))
     miss = ~F.coalesce(contains_span(message, trigger), F.lit(False)) | (anchor_id.isNotNull() & truth.isNotNull() & ~F.coalesce(contains_span(anchor, truth), F.lit(False)))
     return (
         F.when(F.coalesce(skip, F.lit(False)), "skip").when(miss, "span-miss").when(inside, "in-window").when(clash, "marker-collision")

@@ -15,11 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_facts
+from ..functions.parsing import readable as readable_json
 
+# Texts per embedding call, temperatures of the first try and of the next ones.
 EMBED_BATCH = 32
 RETRY_TEMPERATURES = (0.0, 0.3, 0.7)
 
 
+class Truncated(ValueError):
+    """An answer that the model cut off."""
+
+
 class Embedder(Protocol):
     dimensions: int
 
@@ -96,6 +102,8 @@ class HttpModel:
         messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
         r = self._post("chat/completions", {"model": self.model, "temperature": temperature, "messages": messages})
         usage = r.get("usage", {})
+        if r["choices"][0].get("finish_reason") == "length":
+            raise Truncated("the answer was cut off")
         return r["choices"][0]["message"]["content"], usage.get("prompt_tokens", 0), usage.get("completion_tokens", 0)
 
 
@@ -123,7 +131,8 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Embedder, batch: int =
 def complete(prompts: DataFrame, key: list[str], system: str, user: str, completer: Completer, readable=None) -> DataFrame:
     """(key, answer, prompt_tokens, completion_tokens, calls): an answer for each prompt.
 
-    ``readable`` judges an answer; one that isn't is asked for again at a higher temperature, then left as it is.
+    ``readable`` judges an answer; one that isn't, or was cut off, is asked for again at a higher temperature. Where the last
+    try fails too the job fails, so that no prompt goes without its answer in silence.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,10 +143,15 @@ def complete(prompts: DataFrame, key: list[str], system: str, user: str, complet
             for prompt in f[user]:
                 asked = given = 0
                 for calls, t in enumerate(RETRY_TEMPERATURES, 1):
-                    answer, p, c = completer.complete(system, prompt, t)
+                    try:
+                        answer, p, c = completer.complete(system, prompt, t)
+                    except Truncated:
+                        continue
                     asked, given = asked + p, given + c
                     if readable is None or readable(answer):
                         break
+                else:
+                    raise ValueError(f"no readable answer in {len(RETRY_TEMPERATURES)} tries to: {str(prompt)[:200]}")
                 out.append((answer, asked, given, calls))
             yield pd.DataFrame({**{k: f[k].tolist() for k in key}, **{n: [o[i] for o in out] for i, n in enumerate(("answer", "prompt_tokens", "completion_tokens", "calls"))}})
 
@@ -146,16 +160,25 @@ def complete(prompts: DataFrame, key: list[str], system: str, user: str, complet
     return chosen.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", answer string, prompt_tokens long, completion_tokens long, calls int")
 
 
-def _is_json(answer: str) -> bool:
-    return any(b in answer for b in "[{")
-
-
 def extract(batches: DataFrame, completer: Completer, system: str = "") -> DataFrame:
-    """Facts of message batches (first_id, text): one call a batch, parsed as ``parse_facts`` says."""
-    answers = complete(batches, ["first_id"], system, "text", completer, _is_json)
+    """Facts of message batches (first_id, text): one call a batch, asked again if it isn't whole JSON, parsed as ``parse_facts`` says."""
+    answers = complete(batches, ["first_id"], system, "text", completer, readable_json)
     return parse_facts(answers, "first_id", "answer")
 
 
+def with_vectors(table: DataFrame, vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
+    """``table`` with the vectors (``key``, embedding) written over those it has; rows without a new one keep theirs."""
+    v = vectors.select(F.col(key).alias("_key"), F.col("embedding").alias("_vector"))
+    joined = table.join(v, table[key] == v["_key"], "left")
+    return joined.select(*[F.coalesce("_vector", F.col(column)).alias(c) if c == column else table[c] for c in table.columns])
+
+
+def valid_answers(points: DataFrame, answers: DataFrame) -> DataFrame:
+    """The answers (point_id, arm, point_fp, ...) that hold: the point exists and its fingerprint is the one they were made with."""
+    p = points.select(F.col("point_id").alias("_p"), F.col("point_fp").alias("_fp"))
+    return answers.join(p, (F.col("point_id") == F.col("_p")) & (F.col("point_fp") == F.col("_fp")), "left_semi")
+
+
 def stale_answers(points: DataFrame, answers: DataFrame, most: int | None = None) -> DataFrame:
     """(point_id, arm) still to be generated: those without an answer of the point's current fingerprint.
 

@@ -14,13 +14,34 @@ def candidates_jsonl(log: DataFrame, path: str) -> None:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the old table and move into its place, so that a table can be rewritten from itself."""
+    """Write beside the old table and move into its place, so that a table can be rewritten from itself.
+
+    The old table is moved aside first and deleted last; where a move fails it is put back, and the call raises.
+    """
     jvm, fresh = rows.sparkSession._jvm, f"{path}.{uuid.uuid4().hex}"
     rows.write.parquet(fresh)
     p, q = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
     fs = p.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(p, True)
-    fs.rename(q, p)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
+    had = fs.exists(p)
+    if had and not fs.rename(p, aside):
+        raise OSError(f"{path} can't be moved aside; the new table is {fresh}")
+    if not fs.rename(q, p):
+        if had:
+            fs.rename(aside, p)
+        raise OSError(f"{fresh} can't be moved to {path}; the old table stays")
+    if had:
+        fs.delete(aside, True)
+
+
+def points_jsonl(points: DataFrame, path: str) -> None:
+    """Exam points as JSON lines, in order of their ids within each file."""
+    points.sortWithinPartitions("id").write.mode("overwrite").json(path)
+
+
+def journal_jsonl(points: DataFrame, path: str) -> None:
+    """Appends one line for each checked point (``check_points``): its id, whether it was taken, and why not."""
+    points.select("id", F.col("error").isNull().alias("ok"), "error").write.mode("append").json(path)
 
 
 def report_markdown(row: dict) -> str:
