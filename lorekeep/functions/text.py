@@ -179,6 +179,7 @@ def point_fingerprint(answer_fp: Column, trigger: Column, session: Column, messa
     return fingerprint("point-v1", **{"answer-fp": answer_fp, "trigger": F.sha2(or_empty(trigger), 256), "session": session, "message": message})
 
 
+# Fixed values within: session names and the projects they stand for.
 def project_of(session: Column) -> Column:
     """The project that a session's name tells: its directory, or the default one."""
     s = or_empty(session)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_span, hit, marker_in, missed, prepared
+from .sequences import positions
 
 
 def verdict(answer: Column, must: Column, must_not: Column) -> Column:
@@ -65,6 +66,31 @@ def report(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return s.withColumns({"lift": lift, "p_value": p}).withColumn("significant", F.coalesce((F.col("lift") > 0) & (F.col("p_value") < 0.05), F.lit(False)))
 
 
+def known_verdicts(verdicts: DataFrame, points: DataFrame) -> DataFrame:
+    """The verdicts whose point is still in the dataset."""
+    return verdicts.join(points.select("point_id"), "point_id", "left_semi")
+
+
+def to_judge(verdicts: DataFrame) -> DataFrame:
+    """(point_id, reason) of the points worth a judge: failed by both arms, or passed only without memory. Null verdicts aren't."""
+    reason = F.when(~F.col("a_pass") & ~F.col("b_pass"), "both-fail").when(F.col("b_pass") & ~F.col("a_pass"), "b-only")
+    return verdicts.select("point_id", reason.alias("reason")).where("reason is not null")
+
+
+def judged_summary(verdicts: DataFrame) -> DataFrame:
+    """(slice, n, a_pass, b_pass, both_fail, a_only, b_only, lift_pp, p_value) of overlaid verdicts with a level: over all, and over those of level L1.
+
+    ``lift_pp`` is the difference of the arms' shares in whole percentage points, rounded half to even; null without points.
+    """
+    a, b = F.coalesce("a_pass", F.lit(False)), F.coalesce("b_pass", F.lit(False))
+    each = verdicts.select(F.explode(F.when(F.col("level") == "L1", F.array(F.lit("all"), F.lit("L1"))).otherwise(F.array(F.lit("all")))).alias("slice"), a.alias("a"), b.alias("b"))
+    s = each.groupBy("slice").agg(
+        F.count("*").alias("n"), F.count_if("a").alias("a_pass"), F.count_if("b").alias("b_pass"), F.count_if(~F.col("a") & ~F.col("b")).alias("both_fail"),
+        F.count_if(F.col("a") & ~F.col("b")).alias("a_only"), F.count_if(F.col("b") & ~F.col("a")).alias("b_only"),
+    )
+    return s.withColumns({"lift_pp": F.bround((F.col("a_pass") - F.col("b_pass")) * 100 / F.col("n")).cast("long"), "p_value": mcnemar(F.col("a_only"), F.col("b_only"))})
+
+
 def overlay(verdicts: DataFrame, judged: DataFrame) -> DataFrame:
     """Machine verdicts with a judge's in their place where there is one (point_id, a_pass, b_pass)."""
     j = judged.select("point_id", F.col("a_pass").alias("_a"), F.col("b_pass").alias("_b"))
@@ -94,6 +120,21 @@ def span_status(trigger: Column, message: Column, truth: Column, anchor: Column,
     )
 
 
+def spread_of(values: DataFrame, column: str) -> DataFrame:
+    """One row: n, least, most and mean of a column; nulls are left out."""
+    return values.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"))
+
+
+def points_by_session(points: DataFrame) -> DataFrame:
+    """(session_name, place, point_id, points): the points of each session in order of their messages, place from 1, and how many it has.
+
+    Rows, not lists, so that a session with a third of all points is spread. ``message_id`` must be unique.
+    """
+    n = points.groupBy("session_name").agg(F.count("*").alias("points")).select(F.col("session_name").alias("_s"), "points")
+    p = positions(points.select("session_name", "message_id", "point_id"), "session_name", "message_id")
+    return p.join(n, p["session_name"].eqNullSafe(n["_s"])).select("session_name", F.col("pos").alias("place"), "point_id", "points")
+
+
 def order_statistics(values: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
     """(quantile, value): the element at place floor(n * q) of the sorted values, from 0; nulls are left out.
 

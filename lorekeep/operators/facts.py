@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, condition_text, normalize
+from .sequences import totals_before
+from .similar import similar_pairs
 
 ANCHOR = ["_owner", "_scope", "_project", "_subject", "_predicate", "_conditions"]
 
@@ -20,17 +24,17 @@ def _evidence_size(c: str = "evidence") -> Column:
     return F.greatest(F.size(F.coalesce(c, F.array().cast("array<bigint>"))), F.lit(0)).cast("long")
 
 
-def dedup(facts: DataFrame, mode: str = "first") -> DataFrame:
-    """(fact_no, reinforced, evidence_count, conflict) of the facts that stay after folding repeats in order of fact_no.
+def as_stored(facts: DataFrame) -> DataFrame:
+    """The rows that an insert stores: owner, subject and predicate normalised, a blank project null, object and statement as they are;
+    asserted by the user, seen once, at full weight."""
+    return facts.select(
+        "fact_no", normalize(F.col("owner_id")).alias("owner_id"), blank_to_null(F.col("project_id")).alias("project_id"), "kind", "fact_domain", "scope", normalize(F.col("subject_norm")).alias("subject_norm"),
+        normalize(F.col("predicate_norm")).alias("predicate_norm"), "object_value", "statement", F.lit(1).alias("reinforcement_count"), F.lit("USER_ASSERTED").alias("permanence"), F.lit(1.0).alias("w"),
+    )
 
-    Only STATE facts fold. mode ``first``: the earliest fact of an anchor takes in every later one with
-    its normalised object; each fact with another object stays by itself as a conflict. mode
-    ``converged``: every (anchor, object) is one fact. ``reinforced`` counts the facts folded into one, itself
-    included; ``evidence_count`` adds up the lengths of their evidence (repeats count). Anchor columns: null equals null.
 
-    The fold's outcome depends on the earliest object alone, so it is a map-side minimum per anchor, a
-    join back, and a map-side count per kept fact; a hot anchor is never gathered.
-    """
+def folding(facts: DataFrame, mode: str = "first") -> DataFrame:
+    """(fact_no, into, evidence_count, conflict): the fact that each fact folds into, itself if it stays; see ``dedup``."""
     f = anchored(facts).select("fact_no", "kind", "_object", _evidence_size().alias("_n"), F.xxhash64(*ANCHOR).alias("_h"), F.struct(*ANCHOR).alias("_a"))
     state = f.where("kind = 'STATE'")
     key = ["_h", "_a"] if mode == "first" else ["_h", "_a", "_object"]
@@ -41,10 +45,54 @@ def dedup(facts: DataFrame, mode: str = "first") -> DataFrame:
         on = on & c
     met = state.alias("s").join(first.alias("g"), on)
     target = F.when(F.col("s._object") == F.col("_first._object"), F.col("_first.fact_no")).otherwise(F.col("s.fact_no"))
-    folded = met.select(target.alias("fact_no"), "_n", (F.col("s._object") != F.col("_first._object")).alias("_c"))
-    kept = folded.groupBy("fact_no").agg(F.count("*").alias("reinforced"), F.sum("_n").alias("evidence_count"), F.max("_c").alias("conflict"))
-    rest = f.where("kind is null or kind <> 'STATE'").select("fact_no", F.lit(1).cast("long").alias("reinforced"), F.col("_n").alias("evidence_count"), F.lit(False).alias("conflict"))
-    return kept.union(rest)
+    folded = met.select(F.col("s.fact_no").alias("fact_no"), target.alias("into"), F.col("_n").alias("evidence_count"), (F.col("s._object") != F.col("_first._object")).alias("conflict"))
+    return folded.union(f.where("kind is null or kind <> 'STATE'").select("fact_no", F.col("fact_no").alias("into"), F.col("_n"), F.lit(False)))
+
+
+def dedup(facts: DataFrame, mode: str = "first") -> DataFrame:
+    """(fact_no, reinforced, evidence_count, conflict) of the facts that stay after folding repeats in order of fact_no.
+
+    Only STATE facts fold. mode ``first``: the earliest fact of an anchor takes in every later one with
+    its normalised object; each fact with another object stays by itself as a conflict. mode
+    ``converged``: every (anchor, object) is one fact. ``reinforced`` counts the facts folded into one, itself
+    included; ``evidence_count`` adds up the lengths of their evidence (repeats count). Anchor columns: null equals null.
+
+    The fold's outcome depends on the earliest object alone, so it is a map-side minimum per anchor, a
+    join back, and a map-side count per kept fact; a hot anchor is never gathered.
+    """
+    return folding(facts, mode).groupBy(F.col("into").alias("fact_no")).agg(F.count("*").alias("reinforced"), F.sum("evidence_count").alias("evidence_count"), F.max("conflict").alias("conflict"))
+
+
+def dedup_rows(facts: DataFrame, mode: str = "first") -> DataFrame:
+    """The rows that are stored after the fold: those of ``as_stored`` for the facts that stay, with the count of facts folded into each."""
+    kept = dedup(facts, mode).select("fact_no", F.col("reinforced").cast("int").alias("_n"), "evidence_count")
+    return as_stored(facts).join(kept, "fact_no").withColumn("reinforcement_count", F.col("_n")).drop("_n")
+
+
+def dedup_evidence(facts: DataFrame, mode: str = "first") -> DataFrame:
+    """(fact_no, place, message_id): the evidence of each fact that stays, then that of the facts folded into it in their order, repeats kept.
+
+    One row for each message, with its place from 1: the bag of a fact that takes in a third of all facts is spread like any other.
+    """
+    own = facts.select("fact_no", "evidence")
+    runs = totals_before(folding(facts, mode).select("fact_no", "into", "evidence_count"), "into", "fact_no", "evidence_count")
+    each = runs.join(own, "fact_no").select(F.col("into").alias("fact_no"), "before", F.posexplode("evidence").alias("_p", "message_id"))
+    return each.select("fact_no", (F.col("before") + F.col("_p") + 1).alias("place"), "message_id")
+
+
+def near_inserts(facts: DataFrame, least: float = 0.6) -> DataFrame:
+    """(fact_no) of the STATE facts that open an anchor although an earlier fact has a subject written almost like theirs.
+
+    The subject must differ once normalised, and reach ``least`` in 3-gram similarity; facts of any kind count as earlier. They are logged as near
+    duplicates and stored all the same.
+    """
+    subject = normalize(F.col("subject_norm"))
+    first = facts.where("subject_norm is not null").groupBy(subject.alias("_s")).agg(F.min("fact_no").alias("_first"))
+    pairs = similar_pairs(first.select("_s"), least)
+    both = pairs.select(F.col("a").alias("_s"), F.col("b").alias("_other")).union(pairs.select("b", "a"))
+    earliest = both.join(first.select(F.col("_s").alias("_other"), "_first"), "_other").groupBy("_s").agg(F.min("_first").alias("_near"))
+    opening = anchored(facts).where("kind = 'STATE'").groupBy(*ANCHOR).agg(F.min("fact_no").alias("fact_no")).select("fact_no", F.col("_subject").alias("_s"))
+    return opening.join(earliest, "_s").where("_near < fact_no").select("fact_no")
 
 
 def dedup_stats(facts: DataFrame) -> DataFrame:
@@ -128,9 +176,15 @@ def axis_states(facts: DataFrame) -> DataFrame:
 
 
 def acceptance(facts: DataFrame) -> DataFrame:
-    """Per owner: whether any statement holds an e-mail address, whether every fact has evidence, whether any statement is blank."""
+    """Per owner: whether any statement holds an e-mail address, whether every fact has evidence, whether any statement is blank,
+    whether a branch, an account and a build are known, and whether no subject is noise."""
+    p, o, s = (F.lower(F.coalesce(c, F.lit(""))) for c in ("predicate_norm", "object_value", "subject_norm"))
+    has = lambda c, *parts: reduce(lambda x, y: x | y, [F.contains(c, F.lit(part)) for part in parts])
     return facts.groupBy("owner_id").agg(
         F.coalesce(F.bool_or(F.contains("statement", F.lit("@"))), F.lit(False)).alias("has_email"),
         F.bool_and(_evidence_size() > 0).alias("all_evidenced"),
         F.bool_or(blank_to_null(F.col("statement")).isNull()).alias("has_blank"),
+        F.bool_or(has(p, "branch") & has(o, "main", "master")).alias("has_branch"),
+        F.bool_or(has(p, "build", "stack") & has(o, "gradle")).alias("has_build"),
+        F.bool_and(~has(s, "compressed")).alias("no_noise"),
     )

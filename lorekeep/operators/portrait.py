@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
 from ..functions.text import blank_to_null, fact_line
+from .sequences import looking_back, positions
 
 # What makes a fact critical.
 CRITICAL_KEYS = ("organization", "project_type")
@@ -160,14 +161,40 @@ def provenance(facts: DataFrame, w0: int) -> DataFrame:
 
 
 def answer_coverage(facts: DataFrame, must: list[str], w0: int) -> DataFrame:
-    """(owner_id, project_id, covered): whether each marker occurs in the flat text of some fact valid at ``w0``; no markers: false."""
+    """(owner_id, project_id, covered): whether each marker occurs in the joined text of the portrait's facts valid at ``w0``; no markers: false.
+
+    The texts are joined by spaces in the order of the portrait (sections, places), so that a marker may begin in one fact and end in
+    another. They aren't gathered: a marker of n letters that ends in a fact begins at most n // 2 facts before it, so each fact
+    is searched together with that many before it, in pieces of the portrait.
+    """
+    key = ["owner_id", "project_id"]
+    every = facts.select(*key).distinct()
+    if not must:
+        return every.withColumn("covered", F.lit(False))
     text = F.lower(F.regexp_replace(F.concat_ws(" ", *[blank_to_null(F.col(c)) for c in ("subject_norm", "predicate_norm", "object_value", "statement")]), r"\s+", " "))
-    valid = facts.join(provenance(facts, w0).where("provenance = 'valid'"), "fact_no", "left").withColumn("_t", F.when(F.col("provenance").isNotNull(), text))
-    seen = [F.coalesce(F.bool_or(F.contains("_t", F.lit(m.lower()))), F.lit(False)).alias(f"_m{k}") for k, m in enumerate(must)]
-    if not seen:
-        return valid.select("owner_id", "project_id").distinct().withColumn("covered", F.lit(False))
-    out = valid.groupBy("owner_id", "project_id").agg(*seen)
-    covered = F.lit(True)
-    for k in range(len(must)):
-        covered = covered & F.col(f"_m{k}")
-    return out.select("owner_id", "project_id", covered.alias("covered"))
+    valid = facts.join(provenance(facts, w0).where("provenance = 'valid'").select("fact_no"), "fact_no", "left_semi").withColumn("_text", text).where("_text <> ''")
+    order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")) * F.lit(1 << 40) + F.col("place")
+    placed = ranked(valid, also=("_text",)).select(F.struct(*key).alias("_portrait"), order.alias("_order"), "_text")
+    back = max(len(m) for m in must) // 2
+    seen = looking_back(positions(placed, "_portrait", "_order"), "_portrait", back, {"_joined": lambda w: F.collect_list("_text").over(w.rowsBetween(-back, 0))})
+    joined = F.regexp_replace(F.concat_ws(" ", "_joined"), r"\s+", " ")
+    hits = seen.select("_portrait", joined.alias("_t")).groupBy("_portrait").agg(*[F.bool_or(F.contains("_t", F.lit(m.lower()))).alias(f"_m{k}") for k, m in enumerate(must)])
+    found = hits.select(F.col("_portrait").alias("_p"), reduce(lambda x, y: x & y, [F.col(f"_m{k}") for k in range(len(must))]).alias("_all"))
+    return every.join(found, F.struct(*key).eqNullSafe(F.col("_p")), "left").select(*key, F.coalesce("_all", F.lit(False)).alias("covered"))
+
+
+def reconcile(facts: DataFrame, portraits: DataFrame, *, bound: int | None = None, only_stale: bool = False) -> DataFrame:
+    """``portraits`` (owner_id, project_id, cutoff, lines) with those of ``facts`` built anew over them; lines counts their facts.
+
+    With ``bound`` they are built as of that message. All are rebuilt, or with ``only_stale`` those that a fact is newer than.
+    """
+    f = facts if bound is None else at_bound(facts, bound)
+    built = cutoffs(f).join(f.groupBy("owner_id", "project_id").agg(F.count("*").alias("lines")).select(F.col("owner_id").alias("_o"), F.col("project_id").alias("_p"), "lines"), F.col("owner_id").eqNullSafe(F.col("_o")) & F.col("project_id").eqNullSafe(F.col("_p")))
+    built = built.select("owner_id", "project_id", "cutoff", "lines")
+    old = portraits.select(F.col("owner_id").alias("_o"), F.col("project_id").alias("_p"), F.col("cutoff").alias("_c"), F.col("lines").alias("_l"))
+    both = built.join(old, F.col("owner_id").eqNullSafe(F.col("_o")) & F.col("project_id").eqNullSafe(F.col("_p")), "full")
+    new = F.col("lines").isNotNull()
+    if only_stale:
+        new = new & (F.col("_l").isNull() | (F.col("cutoff") > F.col("_c")))
+    pick = lambda a, b: F.when(new, F.col(a)).otherwise(F.col(b)).alias(a)
+    return both.select(F.when(F.col("lines").isNotNull(), F.col("owner_id")).otherwise(F.col("_o")).alias("owner_id"), F.when(F.col("lines").isNotNull(), F.col("project_id")).otherwise(F.col("_p")).alias("project_id"), pick("cutoff", "_c"), pick("lines", "_l"))

@@ -24,6 +24,20 @@ def positions(df: DataFrame, key: str, order: str, chunk: int = ID_CHUNK) -> Dat
     return joined.select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias("pos"))
 
 
+def totals_before(df: DataFrame, key: str, order: str, value: str, chunk: int = ID_CHUNK) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over the rows of its ``key`` that come earlier by ``order``, a unique whole number.
+
+    Added up within ranges of ``order`` and over one row for each (key, range), as ``positions`` does. Null values count as 0.
+    """
+    c = df.withColumn("_c", F.floor(F.col(order) / chunk)).withColumn("_v", F.coalesce(F.col(value), F.lit(0)).cast("long"))
+    earlier = Window.unboundedPreceding, -1
+    inner = c.withColumn("_s", F.coalesce(F.sum("_v").over(Window.partitionBy(key, "_c").orderBy(order).rowsBetween(*earlier)), F.lit(0)))
+    sums = c.groupBy(key, "_c").agg(F.sum("_v").alias("_n"))
+    offsets = sums.select(F.col(key).alias("_k"), F.col("_c").alias("_d"), F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_c").rowsBetween(*earlier)), F.lit(0)).alias("_o"))
+    joined = inner.join(offsets, inner[key].eqNullSafe(offsets["_k"]) & (inner["_c"] == offsets["_d"]))
+    return joined.select(*df.columns, (F.col("_s") + F.col("_o")).alias("before"))
+
+
 def looking_back(df: DataFrame, key: str, back: int, compute: dict[str, Column | object], chunk: int = ROW_CHUNK) -> DataFrame:
     """``df`` (which has ``pos``) with columns over the ``back`` rows before each row.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.similarity import grams
 from ..functions.text import normalize
 
-BLOCK = 1024
+BLOCK = 1024  # queries in one matrix product
+CHUNK = 32_768  # vectors, or queries, of one task
 
 
 def dictionary(values: DataFrame) -> DataFrame:
@@ -51,54 +50,45 @@ def near_duplicates(values: DataFrame, least: float = 0.6, most: int = 5) -> Dat
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, most: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, most: int = 10, chunk: int = CHUNK) -> DataFrame:
     """(query_id, ``key``, cosine, place): for each query its ``most`` most similar vectors, itself left out; ties by id.
 
-    Exact: each block of queries is broadcast (at most ``BLOCK`` rows), every partition of the vectors keeps its own
-    ``most`` per query from one matrix product, and only those are ranked. Null vectors take no part; a zero vector
-    or another length than the queries' raises an error.
+    Exact, as a product of blocked matrices: vectors and queries are dealt by hash into chunks of about ``chunk`` rows, and each pair of
+    chunks is one task that keeps its own ``most`` per query from matrix products of ``BLOCK`` queries; only those are ranked. Nothing passes
+    through the driver but two counts. Null vectors take no part; a zero vector or another length than the first one's raises an error.
     """
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"))
-    rows = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("_v"))
-    out = None
-    iterator = q.orderBy("query_id").toLocalIterator()
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        ids, m = [r.query_id for r in block], np.array([r._q for r in block])
-        norms = np.linalg.norm(m, axis=1)
-        if (norms == 0).any():
-            raise ValueError("zero vector among the queries")
-        m = m / norms[:, None]
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = []
-            for f in frames:
-                if not len(f):
-                    continue
-                v = np.array(f["_v"].tolist())
-                n = np.linalg.norm(v, axis=1)
-                if (n == 0).any():
-                    raise ValueError("zero vector")
-                s = m @ (v / n[:, None]).T
-                k = min(most + 1, s.shape[1])
+    kind = dict(vectors.dtypes)[key]
+    as_double = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    v, q = as_double(vectors), as_double(queries)
+    across, down = (max(1, -(-df.count() // chunk)) for df in (v, q))
+    dealt = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("_id"), F.lit(n)))
+    to = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    left, right = to(dealt(v, "_x", across), "_y", down), to(dealt(q, "_y", down), "_x", across)
+
+    def unit(f: pd.DataFrame) -> np.ndarray:
+        if len({len(x) for x in f["_v"]}) > 1:
+            raise ValueError("vectors of different lengths")
+        m = np.array(f["_v"].tolist())
+        n = np.linalg.norm(m, axis=1)
+        if (n == 0).any():
+            raise ValueError("zero vector")
+        return m / n[:, None]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": b["_id"].iloc[:0], key: a["_id"].iloc[:0], "cosine": np.zeros(0)})]
+        if len(a) and len(b):
+            m, w = unit(a), unit(b)
+            if m.shape[1] != w.shape[1]:
+                raise ValueError("vectors of different lengths")
+            k = min(most + 1, len(a))
+            for at in range(0, len(b), BLOCK):
+                s = w[at : at + BLOCK] @ m.T
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 floor = np.take_along_axis(s, top, 1).min(axis=1)
                 qi, vi = np.nonzero(s >= floor[:, None] - 1e-12)
-                best.append(pd.DataFrame({"query_id": np.array(ids)[qi], key: f[key].to_numpy()[vi], "cosine": s[qi, vi]}))
-            if best:
-                yield pd.concat(best)
-
-        kind = dict(rows.dtypes)[key]
-        return rows.mapInPandas(run, f"query_id {kind}, {key} {kind}, cosine double")
-
-    for row in iterator:
-        block.append(row)
-        if len(block) == BLOCK:
-            out = search(block) if out is None else out.union(search(block))
-            block = []
-    if block or out is None:
-        found = search(block) if block else rows.select(F.col(key).alias("query_id"), key, F.lit(0.0).alias("cosine")).where("false")
-        out = found if out is None else out.union(found)
+                out.append(pd.DataFrame({"query_id": b["_id"].to_numpy()[at + qi], key: a["_id"].to_numpy()[vi], "cosine": s[qi, vi]}))
+        return pd.concat(out)
+
+    found = left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInPandas(run, f"query_id {kind}, {key} {kind}, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key)
-    return out.where(F.col("query_id") != F.col(key)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return found.where(F.col("query_id") != F.col(key)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dynamics import fact_weight as weight
-from ..functions.dynamics import rate_of_half_life
+from ..functions.dynamics import rate_of_half_life, register
+from ..functions.text import base64_text, from_base64, row_key
 from ..functions.text import canonical_key as key_of
 from ..functions.text import fact_line, normalize, speaker
 from ..operators import facts as ops
@@ -46,6 +47,41 @@ def dedup_stats(spark: SparkSession, folder: str) -> DataFrame:
     return ops.dedup_stats(_facts(spark, folder))
 
 
+def rows_inserted(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that an insert of each fact stores."""
+    return ops.as_stored(_facts(spark, folder))
+
+
+def dedup_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.dedup_rows(_facts(spark, folder)).select("fact_no", "owner_id", "subject_norm", "predicate_norm", "object_value", "reinforcement_count", "evidence_count", "permanence")
+
+
+def dedup_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.dedup_evidence(_facts(spark, folder))
+
+
+def near_inserts(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts stored under a subject that is written almost like an earlier one."""
+    return ops.near_inserts(_facts(spark, folder), 0.8)
+
+
+def row_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of facts made from what they say, in the form of UUIDs."""
+    return _facts(spark, folder).select("fact_no", row_key(*[F.col(c) for c in ("owner_id", "project_id", "subject_norm", "fact_no")]).alias("key"))
+
+
+def statements_base64(spark: SparkSession, folder: str) -> DataFrame:
+    b = base64_text(F.col("statement"))
+    return _facts(spark, folder).select("fact_no", b.alias("encoded"), from_base64(b).alias("decoded"))
+
+
+def weights_in_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The decaying weight as the registered SQL function."""
+    register(spark)
+    _facts(spark, folder).select("fact_no", "reinforcement_count").createOrReplaceTempView("_weighed")
+    return spark.sql(f"SELECT fact_no, round(fact_weight({rate_of_half_life(HALF_LIFE)!r}D, {FLOOR}D, CAST(reinforcement_count AS DOUBLE)), 9) AS weight FROM _weighed")
+
+
 def predicate_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return ops.predicate_counts(_facts(spark, folder))
 
@@ -124,7 +160,7 @@ _ROLE_USER = "(peer_name IS NULL OR lower(peer_name) IN ('user', 'human'))"
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text, canonical_key, fact_lines, dedup_facts, dedup_converged, dedup_stats, predicate_frequency, known_predicates, fact_experience, fact_weight,
+        normalize_text, canonical_key, fact_lines, dedup_facts, dedup_converged, dedup_stats, rows_inserted, dedup_rows, dedup_evidence, near_inserts, row_keys, statements_base64, weights_in_sql, predicate_frequency, known_predicates, fact_experience, fact_weight,
         visible_counts, scoped_facts, evidence_overlap, pending_embeddings, shared_projects, fact_kind_counts, axis_states, acceptance_checks,
     )
 }
@@ -153,5 +189,24 @@ SQL = {
     "axis_states": """SELECT owner_id, predicate_norm, count(DISTINCT session_id) AS sessions, CASE WHEN count(DISTINCT session_id) >= 2 THEN 'active' ELSE 'emerging' END AS state
         FROM facts WHERE owner_id IS NOT NULL AND predicate_norm IS NOT NULL AND session_id IS NOT NULL GROUP BY ALL""",
     "acceptance_checks": f"""SELECT owner_id, coalesce(bool_or(contains(statement, '@')), false) AS has_email, bool_and(coalesce(len(evidence), 0) > 0) AS all_evidenced,
-        bool_or(({_BLANK('statement')}) IS NULL) AS has_blank FROM facts GROUP BY owner_id""",
+        bool_or(({_BLANK('statement')}) IS NULL) AS has_blank,
+        bool_or(contains(lower(coalesce(predicate_norm, '')), 'branch') AND (contains(lower(coalesce(object_value, '')), 'main') OR contains(lower(coalesce(object_value, '')), 'master'))) AS has_branch,
+        bool_or((contains(lower(coalesce(predicate_norm, '')), 'build') OR contains(lower(coalesce(predicate_norm, '')), 'stack')) AND contains(lower(coalesce(object_value, '')), 'gradle')) AS has_build,
+        bool_and(NOT contains(lower(coalesce(subject_norm, '')), 'compressed')) AS no_noise FROM facts GROUP BY owner_id""",
+    "rows_inserted": f"""SELECT fact_no, {_N('owner_id')} AS owner_id, {_BLANK('project_id')} AS project_id, kind, fact_domain, scope, {_N('subject_norm')} AS subject_norm, {_N('predicate_norm')} AS predicate_norm,
+        object_value, statement, 1 AS reinforcement_count, 'USER_ASSERTED' AS permanence, 1.0::DOUBLE AS w FROM facts""",
+    "dedup_rows": _STATE + f"""SELECT fact_no, {_N('owner_id')} AS owner_id, {_N('subject_norm')} AS subject_norm, {_N('predicate_norm')} AS predicate_norm, object_value, reinforced::INT AS reinforcement_count, evidence_count,
+        'USER_ASSERTED' AS permanence FROM kept JOIN facts USING (fact_no)""",
+    "dedup_evidence": _STATE + """, target AS (SELECT fact_no AS own, CASE WHEN obj = obj1 THEN no1 ELSE fact_no END AS fact_no FROM g UNION ALL SELECT fact_no, fact_no FROM f WHERE kind IS NULL OR kind <> 'STATE'),
+        bag AS (SELECT t.fact_no, flatten(list(coalesce(evidence, []) ORDER BY own)) AS e FROM target t JOIN facts s ON s.fact_no = t.own GROUP BY t.fact_no)
+        SELECT fact_no, unnest(range(1, len(e) + 1)) AS place, unnest(e) AS message_id FROM bag""",
+    "near_inserts": f"""WITH f AS (SELECT fact_no, kind, {_N('owner_id')} AS o, scope, {_BLANK('project_id')} AS p, {_N('subject_norm')} AS s, {_N('predicate_norm')} AS r, {_COND} AS c, subject_norm IS NOT NULL AS named FROM facts),
+        d AS (SELECT s, min(fact_no) AS first, list_distinct(list_transform(range(1, length('  ' || s || ' ') - 1), lambda i: substring('  ' || s || ' ', i, 3))) AS g FROM f WHERE named GROUP BY s),
+        near AS (SELECT a.s, min(b.first) AS first FROM d a JOIN d b ON a.s <> b.s AND a.s <> '' AND b.s <> '' AND len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.8 GROUP BY a.s),
+        opening AS (SELECT min(fact_no) AS fact_no, s FROM f WHERE kind = 'STATE' GROUP BY o, scope, p, s, r, c)
+        SELECT fact_no FROM opening JOIN near USING (s) WHERE first < fact_no""",
+    "row_keys": """SELECT fact_no, left(h, 8) || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS key FROM (
+        SELECT fact_no, sha256(concat_ws(chr(1), coalesce('=' || owner_id, '-'), coalesce('=' || project_id, '-'), coalesce('=' || subject_norm, '-'), '=' || fact_no)) AS h FROM facts)""",
+    "statements_base64": "SELECT fact_no, base64(encode(statement)) AS encoded, statement AS decoded FROM facts",
+    "weights_in_sql": f"SELECT fact_no, round({FLOOR}::DOUBLE + {1 - FLOOR}::DOUBLE * exp({-math.log(2) / HALF_LIFE!r}::DOUBLE * reinforcement_count), 9) AS weight FROM facts",
 }

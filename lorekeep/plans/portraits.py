@@ -14,6 +14,7 @@ from ..sources.tables import table
 
 BOUND, EARLIER = 10_000, 5_000  # message ids
 MUST = ["prod", "postgres"]
+ACROSS = ["5 service:"]
 DIGEST_TOP = Settings().digest_top
 HALF, QUARTER = 0.5, 0.25  # quantiles of the message ids
 
@@ -152,6 +153,18 @@ def coverage_at_half(spark: SparkSession, folder: str) -> DataFrame:
     return ops.answer_coverage(_facts(spark, folder), MUST, _id_at(spark, folder, HALF))
 
 
+def coverage_across_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether some fact of a portrait ends in a 5 and the next one begins with a service: a marker that lies across two facts."""
+    return ops.answer_coverage(_facts(spark, folder), ACROSS, _id_at(spark, folder, 1.0))
+
+
+def portraits_built(spark: SparkSession, folder: str) -> DataFrame:
+    """The portraits of the history, with those that a later batch makes stale built anew."""
+    f = _facts(spark, folder).where("owner_id is not null")
+    old = f.where("batch_no = 0").groupBy("owner_id", "project_id").agg(F.max("created_at").alias("cutoff"), F.count("*").alias("lines"))
+    return ops.reconcile(f, old, only_stale=True)
+
+
 _BLANK = lambda c: rf"CASE WHEN regexp_replace({c}, '[\x00-\x20]+', '', 'g') <> '' THEN {c} END"
 _WHOLE = f"coalesce({_BLANK('statement')}, concat_ws(' · ', {_BLANK('subject_norm')}, {_BLANK('predicate_norm')}, {_BLANK('object_value')}))"
 _LINE = f"left({_WHOLE}, 200)"
@@ -204,9 +217,11 @@ _ITEMS = "SELECT snapshot_id, section, place, i->>'id' AS id, i->>'subject' AS s
 _TEXT = f"lower(regexp_replace(concat_ws(' ', {', '.join(_BLANK(c) for c in ('subject_norm', 'predicate_norm', 'object_value', 'statement'))}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
-def _covered(provenance: str) -> str:
-    return f"""SELECT owner_id, project_id, {' AND '.join(f"coalesce(bool_or(contains(t, '{m}')), false)" for m in MUST)} AS covered
-        FROM (SELECT owner_id, project_id, CASE WHEN provenance = 'valid' THEN {_TEXT} END AS t FROM facts JOIN ({provenance}) USING (fact_no)) GROUP BY ALL"""
+def _covered(provenance: str, must: list[str] = MUST) -> str:
+    return f"""WITH j AS (SELECT f.owner_id, f.project_id, CASE WHEN provenance = 'valid' AND t <> '' THEN t END AS t, section, place FROM (SELECT *, {_TEXT} AS t FROM facts) f
+          JOIN ({provenance}) USING (fact_no) JOIN ({_whole('facts')}) USING (fact_no)),
+        h AS (SELECT owner_id, project_id, regexp_replace(coalesce(string_agg(t, ' ' ORDER BY list_position(['critical', 'constructs', 'preferences'], section), place), ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM j GROUP BY ALL)
+        SELECT owner_id, project_id, {' AND '.join(f"contains(t, '{m}')" for m in must)} AS covered FROM h"""
 
 
 QUERIES = {
@@ -214,7 +229,7 @@ QUERIES = {
     for f in (
         portrait_whole, portrait_sections, digest_text, digest_whole, digest_selected, portrait_cutoff, facts_as_of, portrait_as_of, portrait_whole_as_of, portrait_diff, stale_portraits, portrait_items, item_evidence, latest_portraits,
         build_delays, provenance_verdict, provenance_histogram, answer_coverage,
-        facts_at_half, portrait_at_half, portrait_diff_to_half, provenance_at_half, provenance_histogram_at_half, coverage_at_half,
+        coverage_across_facts, portraits_built, facts_at_half, portrait_at_half, portrait_diff_to_half, provenance_at_half, provenance_histogram_at_half, coverage_at_half,
     )
 }
 SQL = {
@@ -248,6 +263,11 @@ SQL = {
     "provenance_verdict": _PROVENANCE,
     "provenance_histogram": f"SELECT provenance, count(*) AS facts FROM ({_PROVENANCE}) GROUP BY ALL",
     "answer_coverage": _covered(_PROVENANCE),
+    "coverage_across_facts": _covered(_provenance(_id_sql(1.0)), ACROSS),
+    "portraits_built": """WITH n AS (SELECT owner_id, project_id, max(created_at) AS cutoff, count(*) AS lines FROM facts WHERE owner_id IS NOT NULL GROUP BY ALL),
+        o AS (SELECT owner_id, project_id, max(created_at) AS cutoff, count(*) AS lines FROM facts WHERE owner_id IS NOT NULL AND batch_no = 0 GROUP BY ALL)
+        SELECT n.owner_id, n.project_id, CASE WHEN o.lines IS NULL OR n.cutoff > o.cutoff THEN n.cutoff ELSE o.cutoff END AS cutoff, CASE WHEN o.lines IS NULL OR n.cutoff > o.cutoff THEN n.lines ELSE o.lines END AS lines
+        FROM n LEFT JOIN o ON o.owner_id = n.owner_id AND o.project_id IS NOT DISTINCT FROM n.project_id""",
     "facts_at_half": f"SELECT fact_no, reinforcement_count, array_to_string(evidence, ',') AS evidence FROM {_at_quantile(HALF)}",
     "portrait_at_half": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_whole(_at_quantile(HALF))})",
     "portrait_diff_to_half": f"SELECT fact_no, owner_id FROM {_at_quantile(HALF)} WHERE fact_no NOT IN (SELECT fact_no FROM {_at_quantile(QUARTER)})",

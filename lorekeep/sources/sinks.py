@@ -13,6 +13,22 @@ def candidates_jsonl(log: DataFrame, path: str) -> None:
     log.select("id", F.col("session_name").alias("session"), F.col("peer_name").alias("peer"), "tokens", F.col("created_at").alias("time"), "content").write.mode("overwrite").json(path)
 
 
+def json_arrays(rows: DataFrame, path: str) -> None:
+    """One JSON array a file, of the rows as objects."""
+
+    def run(frames):
+        import pandas as pd
+
+        begun = False
+        for f in frames:
+            for t in f["t"]:
+                yield pd.DataFrame({"t": [("," if begun else "[") + t]})
+                begun = True
+        yield pd.DataFrame({"t": ["]" if begun else "[]"]})
+
+    rows.select(F.to_json(F.struct("*")).alias("t")).mapInPandas(run, "t string").write.mode("overwrite").text(path)
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
     """Write beside the old table and move into its place, so that a table can be rewritten from itself.
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,32 @@ def test_first_existing(spark, tmp_path):
     assert logs.first_existing(spark, f"{tmp_path}/a", f"{tmp_path}/b") == f"{tmp_path}/b"
     with pytest.raises(FileNotFoundError):
         logs.first_existing(spark, f"{tmp_path}/a")
+
+
+def test_records_are_cut_out_of_many_splits(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    bits = ['a "quoted" }', "{", "}", "\\", 'end\\"', "plain", "[x]", "ж}", '{"role": "user"}', "\n", "}}{{"]
+    rows = []
+    for k in range(60):
+        turns = [[{"role": rng.choice(["user", "assistant"]), "content": " ".join(rng.choice(bits) for _ in range(rng.randrange(0, 6)))} for _ in range(rng.randrange(0, 4))] for _ in range(rng.randrange(0, 4))]
+        rows.append({"question_id": f"q{k % 50}", "question_type": "t", "question": rng.choice(bits), "answer": rng.choice([7, "x", None]), "question_date": None, "haystack_dates": ["bad"] * len(turns), "haystack_sessions": turns, "more": {"deep": [{"x": "}"}]}})
+    for text in (json.dumps(rows), json.dumps(rows, indent=2, ensure_ascii=False)):
+        (tmp_path / "r.json").write_text(text)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        try:
+            got = sorted(logs.records(spark, str(tmp_path / "r.json")).collect(), key=lambda r: r.file_place)
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / "r.json")).rdd.getNumPartitions() > 3
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r.question_id, r.question, [[(t.role, t.content) for t in s] for s in r.haystack_sessions]) for r in got] == [(r["question_id"], r["question"], [[(t["role"], t["content"]) for t in s] for s in r["haystack_sessions"]]) for r in rows]
+        last = {r.question_id: r.file_place for r in logs.last_of(logs.records(spark, str(tmp_path / "r.json"))).collect()}
+        assert len(last) == 50 and all(last[f"q{k}"] == k + 50 for k in range(10))
+    points = logs.record_points(logs.records(spark, str(tmp_path / "r.json")), ["t"], 2, limit=3).collect()
+    assert len(points) == 3
+
+
+@pytest.mark.parametrize("text", ['{"question_id": "a"}', "", "7"])
+def test_files_that_are_no_array_are_refused(spark, tmp_path, text):
+    (tmp_path / "r.json").write_text(text)
+    with pytest.raises(ValueError, match="JSON array"):
+        logs.records(spark, str(tmp_path / "r.json"))
