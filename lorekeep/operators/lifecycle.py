@@ -99,7 +99,7 @@ def works(points: DataFrame) -> DataFrame:
     ``points``: point_id, w0 (where the window starts, -1 if nothing lies before it), previous (the message before the point). Without a
     null bound; -1 has nothing to be built from. The order is global, so ranges are ranked and offset by their counts.
     """
-    both = points.select("point_id", F.explode(F.array(F.struct(F.col("w0").cast("long").alias("bound"), F.lit("w0").alias("kind"), F.lit(0).alias("tie")), F.struct(F.col("previous").cast("long"), F.lit("m"), F.lit(1)))).alias("x")).select("point_id", "x.*")
+    both = points.select("point_id", F.explode(F.array(F.struct(F.col("w0").cast("long").alias("bound"), F.lit("w0").alias("kind"), F.lit(0).alias("tie")), F.struct(F.col("previous").cast("long").alias("bound"), F.lit("m").alias("kind"), F.lit(1).alias("tie")))).alias("x")).select("point_id", "x.*")
     kept = both.where("bound >= 0").withColumn("_range", F.floor(F.col("bound") / 4096))
     inner = kept.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy("bound", "tie", "point_id")))
     ranges = kept.groupBy("_range").agg(F.count("*").alias("_n"))

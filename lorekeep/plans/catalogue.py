@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, facts, lifecycle, logs, portraits, temporal
+from . import benchmark, evaluation, facts, lifecycle, logs, portraits, temporal
 
-MODULES = [temporal, logs, facts, portraits, evaluation, lifecycle]
+MODULES = [temporal, logs, facts, portraits, evaluation, lifecycle, benchmark]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -182,7 +182,7 @@ def _ranked(source: str, most: int = 40) -> str:
         FROM (SELECT *, {_SECTION} AS section, {_LINE} AS line FROM {source})) WHERE place <= {most}"""
 
 
-def _whole(source: str) -> str:
+def whole_sql(source: str) -> str:
     return f"""SELECT owner_id, project_id, section, row_number() OVER (PARTITION BY owner_id, project_id, section
         ORDER BY reinforcement_count DESC NULLS LAST, created_at ASC NULLS LAST, fact_no) AS place, fact_no, line FROM (SELECT *, {_SECTION} AS section, {_WHOLE} AS line FROM {source})"""
 
@@ -219,7 +219,7 @@ _TEXT = f"lower(regexp_replace(concat_ws(' ', {', '.join(_BLANK(c) for c in ('su
 
 def _covered(provenance: str, must: list[str] = MUST) -> str:
     return f"""WITH j AS (SELECT f.owner_id, f.project_id, CASE WHEN provenance = 'valid' AND t <> '' THEN t END AS t, section, place FROM (SELECT *, {_TEXT} AS t FROM facts) f
-          JOIN ({provenance}) USING (fact_no) JOIN ({_whole('facts')}) USING (fact_no)),
+          JOIN ({provenance}) USING (fact_no) JOIN ({whole_sql('facts')}) USING (fact_no)),
         h AS (SELECT owner_id, project_id, regexp_replace(coalesce(string_agg(t, ' ' ORDER BY list_position(['critical', 'constructs', 'preferences'], section), place), ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS t FROM j GROUP BY ALL)
         SELECT owner_id, project_id, {' AND '.join(f"contains(t, '{m}')" for m in must)} AS covered FROM h"""
 
@@ -233,15 +233,15 @@ QUERIES = {
     )
 }
 SQL = {
-    "portrait_whole": _whole("facts"),
+    "portrait_whole": whole_sql("facts"),
     "portrait_sections": _ranked("facts"),
     "digest_text": f"""WITH t AS ({_ranked('facts', 3)}), s AS (SELECT owner_id, project_id, section, '[' || section || ']' || chr(10) || string_agg('- ' || line, chr(10) ORDER BY place) AS t
         FROM t WHERE regexp_replace(line, '[\\x00-\\x20]+', '', 'g') <> '' GROUP BY owner_id, project_id, section)
         SELECT owner_id, project_id, string_agg(t, chr(10) ORDER BY list_position(['critical', 'constructs', 'preferences'], section)) AS digest FROM s GROUP BY owner_id, project_id""",
-    "digest_whole": f"WITH t AS (SELECT * FROM ({_whole('facts')}) WHERE {_LINED}) {_JOINED}",
+    "digest_whole": f"WITH t AS (SELECT * FROM ({whole_sql('facts')}) WHERE {_LINED}) {_JOINED}",
     "digest_selected": f"""WITH v AS (SELECT f.fact_no, f.reinforcement_count, f.created_at, e.embedding::DOUBLE[] AS vector FROM facts f JOIN embeddings e ON e.vec_id = f.fact_no % (SELECT count(*) FROM embeddings)),
         n AS (SELECT owner_id, project_id, max(fact_no) AS newest FROM facts GROUP BY ALL),
-        r AS (SELECT * FROM ({_whole('facts')}) WHERE {_LINED}),
+        r AS (SELECT * FROM ({whole_sql('facts')}) WHERE {_LINED}),
         t AS (SELECT * FROM (SELECT r.owner_id, r.project_id, section, line, row_number() OVER (PARTITION BY r.owner_id, r.project_id ORDER BY list_cosine_similarity(v.vector, g.vector) DESC,
             coalesce(v.reinforcement_count, 0) DESC, v.created_at ASC NULLS FIRST, list_position(['critical', 'constructs', 'preferences'], section), r.place) AS place
             FROM r JOIN v USING (fact_no) JOIN n ON n.owner_id IS NOT DISTINCT FROM r.owner_id AND n.project_id IS NOT DISTINCT FROM r.project_id JOIN v g ON g.fact_no = n.newest) WHERE place <= {DIGEST_TOP}),
@@ -250,7 +250,7 @@ SQL = {
     "portrait_cutoff": "SELECT owner_id, project_id, max(created_at) AS cutoff FROM facts GROUP BY ALL",
     "facts_as_of": f"SELECT fact_no, reinforcement_count, array_to_string(evidence, ',') AS evidence FROM {_at(BOUND)}",
     "portrait_as_of": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_ranked(_at(BOUND))})",
-    "portrait_whole_as_of": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_whole(_at(BOUND))})",
+    "portrait_whole_as_of": f"SELECT owner_id, project_id, section, place, fact_no FROM ({whole_sql(_at(BOUND))})",
     "portrait_diff": f"SELECT fact_no, owner_id FROM {_at(BOUND)} WHERE fact_no NOT IN (SELECT fact_no FROM {_at(EARLIER)})",
     "stale_portraits": """SELECT snapshot_id FROM portrait_snapshots s JOIN (SELECT owner_id, coalesce(project_id, '') AS p, max(created_at) AS m FROM facts GROUP BY ALL) f
         ON f.owner_id = s.owner_id AND f.p = coalesce(s.project_id, '') WHERE m > cutoff""",
@@ -269,7 +269,7 @@ SQL = {
         SELECT n.owner_id, n.project_id, CASE WHEN o.lines IS NULL OR n.cutoff > o.cutoff THEN n.cutoff ELSE o.cutoff END AS cutoff, CASE WHEN o.lines IS NULL OR n.cutoff > o.cutoff THEN n.lines ELSE o.lines END AS lines
         FROM n LEFT JOIN o ON o.owner_id = n.owner_id AND o.project_id IS NOT DISTINCT FROM n.project_id""",
     "facts_at_half": f"SELECT fact_no, reinforcement_count, array_to_string(evidence, ',') AS evidence FROM {_at_quantile(HALF)}",
-    "portrait_at_half": f"SELECT owner_id, project_id, section, place, fact_no FROM ({_whole(_at_quantile(HALF))})",
+    "portrait_at_half": f"SELECT owner_id, project_id, section, place, fact_no FROM ({whole_sql(_at_quantile(HALF))})",
     "portrait_diff_to_half": f"SELECT fact_no, owner_id FROM {_at_quantile(HALF)} WHERE fact_no NOT IN (SELECT fact_no FROM {_at_quantile(QUARTER)})",
     "provenance_at_half": _PROVENANCE_HALF,
     "provenance_histogram_at_half": f"SELECT provenance, count(*) AS facts FROM ({_PROVENANCE_HALF}) GROUP BY ALL",
