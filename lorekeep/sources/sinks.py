@@ -29,6 +29,10 @@ def json_arrays(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("t")).mapInPandas(run, "t string").write.mode("overwrite").text(path)
 
 
+def _file_system(rows: DataFrame, path):
+    return path.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
+
+
 def replace_table(rows: DataFrame, path: str) -> None:
     """Write beside the old table and move into its place, so that a table can be rewritten from itself.
 
@@ -37,7 +41,7 @@ def replace_table(rows: DataFrame, path: str) -> None:
     jvm, fresh = rows.sparkSession._jvm, f"{path}.{uuid.uuid4().hex}"
     rows.write.parquet(fresh)
     p, q = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = p.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    fs = _file_system(rows, p)
     aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.old")
     had = fs.exists(p)
     if had and not fs.rename(p, aside):

@@ -76,3 +76,12 @@ def test_nothing_in_the_core_imports_the_training_data_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [f"{node.module or ''}.{a.name}" for a in node.names] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in names), path
+
+
+def test_a_missing_library_costs_the_training_data_queries_only():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(catalogue.queries())), str(len(catalogue.oracle_sql()))]

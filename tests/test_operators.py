@@ -305,3 +305,107 @@ def test_experiments_are_resolved(spark):
     for args in (("other",), ("fp", "b"), ("fp", "none")):
         with pytest.raises(ValueError):
             lifecycle.resolve_experiment(e, *args)
+
+
+def test_a_marker_may_lie_across_two_facts(spark):
+    rows = [fact(1, evidence=[1], statement="ends with alpha", predicate=None, obj=None, rc=9), fact(2, evidence=[1], statement="beta begins", predicate=None, obj=None, rc=5), fact(3, evidence=[99], statement="gamma", rc=1)]
+    rows = [(*r[:8], None, *r[9:]) for r in rows]  # no subject
+    df = spark.createDataFrame([*rows, fact(4, evidence=[99], owner="late", statement="alpha beta")], FACT)
+    cover = lambda must: {r.owner_id: r.covered for r in portrait.answer_coverage(df, must, 50).collect()}
+    assert cover(["Alpha Beta"]) == {"o": True, "late": False}
+    assert cover(["beta alpha"]) == {"o": False, "late": False} and cover(["begins gamma"]) == {"o": False, "late": False}
+    assert cover(["with alpha beta begins"])["o"] and cover(["ends"])["o"]
+
+
+def test_coverage_over_many_short_facts(spark):
+    rows = [(*fact(n, evidence=[1], statement=str(n % 10), rc=1, day=n)[:8], None, None, None, str(n % 10), None, [1], 1, T0 + dt.timedelta(days=n)) for n in range(30)]
+    df = spark.createDataFrame(rows, FACT)
+    text = " ".join(str(n % 10) for n in range(30))
+    for must in ("0 1 2 3 4 5 6 7", "9 0 1", "9 1", text, text + " 0"):
+        assert portrait.answer_coverage(df, [must], 5).first().covered is (must in text)
+
+
+def test_fold_keeps_evidence_in_order(spark):
+    rows = [fact(1, evidence=[5, 5]), fact(2, evidence=[]), fact(3, evidence=[9], obj="other"), fact(4, evidence=[1, 2]), fact(5, kind="EVENT", evidence=[7]), fact(6, evidence=[5])]
+    df = spark.createDataFrame(rows, FACT)
+    got = {}
+    for r in facts.dedup_evidence(df).orderBy("fact_no", "place").collect():
+        got.setdefault(r.fact_no, []).append((r.place, r.message_id))
+    assert got == {1: [(1, 5), (2, 5), (3, 1), (4, 2), (5, 5)], 3: [(1, 9)], 5: [(1, 7)]}
+    kept = {r.fact_no: (r.reinforcement_count, r.permanence, r.subject_norm) for r in facts.dedup_rows(df).collect()}
+    assert kept == {1: (4, "USER_ASSERTED", "subj"), 3: (1, "USER_ASSERTED", "subj"), 5: (1, "USER_ASSERTED", "subj")}
+
+
+def test_near_inserts(spark):
+    rows = [(*fact(n)[:8], s, "r", *fact(n)[10:]) for n, s in enumerate(["deploy target", "deploy targets", "Deploy  Target", "retry", "deploy targets"], 1)]
+    assert [r.fact_no for r in facts.near_inserts(spark.createDataFrame(rows, FACT)).collect()] == [2]
+
+
+def test_totals_before_in_ranges(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 0, 1, 5])) for i in rng.sample(range(4000), 300)]
+    got = {r.i: r.before for r in sequences.totals_before(spark.createDataFrame(rows, "k string, i long, v long"), "k", "i", "v", chunk=100).collect()}
+    assert got == {i: sum(w or 0 for q, j, w in rows if q == k and j < i) for k, i, _ in rows}
+
+
+@pytest.mark.parametrize("chunk", [7, 1000])
+def test_nearest_in_chunks(spark, chunk):
+    rng = random.Random(5)
+    vs = {i: [rng.gauss(0, 1) for _ in range(3)] for i in range(60)}
+    df = spark.createDataFrame(list(vs.items()), "id long, v array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    wanted = {(q, i) for q in range(0, 60, 3) for _, i in sorted((-cos(vs[q], v), i) for i, v in vs.items() if i != q)[:4]}
+    assert {(r.query_id, r.id) for r in similar.nearest(df, df.where("id % 3 = 0"), "id", "v", 4, chunk).collect()} == wanted
+    with pytest.raises(Exception, match="zero vector"):
+        similar.nearest(df.union(spark.createDataFrame([(99, [0.0, 0.0, 0.0])], df.schema)), df.where("id = 1"), "id", "v").collect()
+
+
+def test_runs_are_folded_from_events(spark):
+    t = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [(1, 1, t(0), "e", "arms", "running", None, None, None), (1, 2, t(1), None, None, None, 5, 50, None), (1, 3, t(2), None, None, None, 9, 90, 1), (1, 4, t(3), None, None, "done", None, None, None), (2, 1, t(0), "e", "arms", "running", None, None, None)]
+    r = lifecycle.run_states(spark.createDataFrame(rows, lifecycle.RUN_EVENT))
+    got = {x.run_id: (x.status, x.calls, x.prompt_tokens, x.completion_tokens, x.started_at, x.finished_at) for x in r.collect()}
+    assert got == {1: ("done", 9, 90, 1, t(0), t(3)), 2: ("running", None, None, None, t(0), None)}
+    assert r.agg(lifecycle.interrupted(r, "e", "arms")).first()[0] == 1
+
+
+def test_works_are_in_order(spark):
+    df = spark.createDataFrame([("b", 5, 9000), ("a", 5, 5), ("c", -1, 3)], "point_id string, w0 long, previous long")
+    assert [(r.point_id, r.bound, r.kind) for r in lifecycle.works(df).orderBy("n").collect()] == [("c", 3, "m"), ("a", 5, "w0"), ("b", 5, "w0"), ("a", 5, "m"), ("b", 9000, "m")]
+    b = spark.createDataFrame([(5, 3), (3, 3), (2, 3), (1, None), (0, None)], "b long, c long").select(lifecycle.replay_branch(F.col("b"), F.col("c")))
+    assert [r[0] for r in b.collect()] == ["ingest", "build", "project", "ingest", "build"]
+
+
+def test_an_experiment_is_begun_anew(spark):
+    e = spark.createDataFrame([("a", "live", "active", "f", "g"), ("z", "live", "archived", "f", "g"), ("b", "live", "active", "f", "g")], "slug string, material string, status string, ingest_fp string, answer_fp string")
+    f = spark.createDataFrame([(1, "o", "p"), (2, "o", "q"), (3, "o", None)], "fact_no long, owner_id string, project_id string")
+    c = spark.createDataFrame([("s", 5), ("t", 6)], "session_name string, position long")
+    src = spark.createDataFrame([("o", "p", "s")], "owner_id string, project_id string, session_name string")
+    e2, f2, c2 = lifecycle.create_experiment(e, f, c, src, slug="b", material="m", ingest_fp="h", answer_fp="i")
+    assert {(r.slug, r.status, r.ingest_fp) for r in e2.collect()} == {("a", "archived", "f"), ("z", "archived", "f"), ("b", "active", "h")}
+    assert {r.fact_no for r in f2.collect()} == {2, 3} and {r.session_name for r in c2.collect()} == {"t"}
+
+
+def test_reads_and_listing(spark):
+    t = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    assert {r.k: r.v for r in lifecycle.reads(t, keys, ["k"], "v", 0).collect()} == {"a": 1, "b": 0, "c": 0, None: 0}
+    assert [r.k for r in lifecycle.listing(t, "-v").collect()] == ["a", "b"] and lifecycle.listing(t, "v", k="b").count() == 1
+
+
+def test_portraits_are_reconciled(spark):
+    f = spark.createDataFrame([fact(1, day=1), fact(2, day=5), fact(3, owner="n", project=None, day=2)], FACT)
+    old = spark.createDataFrame([("o", "p", T0 + dt.timedelta(days=9), 7), ("gone", "p", T0, 1)], "owner_id string, project_id string, cutoff timestamp_ntz, lines long")
+    rows = lambda **k: {(r.owner_id, r.lines) for r in portrait.reconcile(f, old, **k).collect()}
+    assert rows() == {("o", 2), ("n", 1), ("gone", 1)} and rows(only_stale=True) == {("o", 7), ("n", 1), ("gone", 1)}
+
+
+def test_tables_are_created_once(spark):
+    try:
+        for _ in range(2):
+            lifecycle.create_tables(spark, {"runs_of_a_test": "id BIGINT, status STRING"})
+        spark.sql("INSERT INTO runs_of_a_test VALUES (1, 'x')")
+        lifecycle.create_tables(spark, {"runs_of_a_test": "id BIGINT, status STRING"})
+        assert spark.table("runs_of_a_test").count() == 1
+    finally:
+        spark.sql("DROP TABLE IF EXISTS runs_of_a_test")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import settings
 from lorekeep.functions import prompts
+from lorekeep.functions.parsing import readable
 from lorekeep.functions.similarity import cosine
 from lorekeep.operators import providers
 
@@ -74,3 +75,36 @@ def test_settings(tmp_path):
     assert (s.model_url, s.model, s.answer_model, s.window, s.embedding_url, s.selects) == ("u", "n", "n", 7, "", False)
     assert settings.load(None, env={"LOREKEEP_EMBEDDING_URL": "e", "LOREKEEP_EMBEDDING_MODEL": "x"}).selects
     assert settings.load(str(tmp_path / "none"), env={}).batch_tokens == 2000
+
+
+class Broken:
+    """Answers with broken, then with cut-off JSON, then well, or never."""
+
+    def __init__(self, heals):
+        self.heals = heals
+
+    def complete(self, system, user, temperature):
+        if temperature == 0:
+            return '[{"kind": "STATE", "subj', 1, 1
+        if temperature < 0.5:
+            raise providers.Truncated("cut")
+        return ('Here: [{"subject": "s"}]' if self.heals else "[{]"), 1, 1
+
+
+def test_broken_json_is_asked_for_again_and_fails_at_last(spark):
+    df = spark.createDataFrame([(1, "u")], "first_id long, text string")
+    assert [r.subject for r in providers.extract(df, Broken(True)).collect()] == ["s"]
+    with pytest.raises(Exception, match="no readable answer in 3 tries"):
+        providers.extract(df, Broken(False)).collect()
+
+
+@pytest.mark.parametrize(("text", "ok"), [("[]", True), ('{"facts": []}', True), ("```json\n[1]\n```", True), ("```\n[1", False), ('see [{"a": 1}] there', True), ('[{"a": 1}', False), ("none", False), (None, False), ("", False)])
+def test_readable(text, ok):
+    assert readable(text) is ok
+
+
+def test_vectors_are_joined_back(spark):
+    t = spark.createDataFrame([(1, [1.0], "x"), (2, None, "y"), (3, None, "z")], "id long, embedding array<double>, c string")
+    v = spark.createDataFrame([(2, [2.0])], "id long, embedding array<double>")
+    out = providers.with_vectors(t, v, "id")
+    assert out.columns == t.columns and {r.id: r.embedding for r in out.collect()} == {1: [1.0], 2: [2.0], 3: None}

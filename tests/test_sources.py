@@ -132,3 +132,48 @@ def test_files_that_are_no_array_are_refused(spark, tmp_path, text):
     (tmp_path / "r.json").write_text(text)
     with pytest.raises(ValueError, match="JSON array"):
         logs.records(spark, str(tmp_path / "r.json"))
+
+
+def test_a_failing_rename_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(path)
+    real = spark._jvm.org.apache.hadoop.fs.Path
+
+    class Failing:
+        """A file system whose renames to the table's own place fail once."""
+
+        def __init__(self, fs):
+            self.fs, self.failed = fs, False
+
+        def exists(self, p):
+            return self.fs.exists(p)
+
+        def delete(self, p, deep):
+            return self.fs.delete(p, deep)
+
+        def rename(self, a, b):
+            if str(b.toString()).endswith("/t") and not self.failed:
+                self.failed = True
+                return False
+            return self.fs.rename(a, b)
+
+    monkeypatch.setattr(sinks, "_file_system", lambda rows, p: Failing(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())))
+    with pytest.raises(OSError, match="the old table stays"):
+        sinks.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 3 and real is not None
+
+
+def test_points_and_journal(spark, tmp_path):
+    p = spark.createDataFrame([("b", None), ("a", "bad level")], "id string, error string")
+    sinks.points_jsonl(p.select("id"), f"{tmp_path}/p")
+    sinks.journal_jsonl(p, f"{tmp_path}/j")
+    sinks.journal_jsonl(p.limit(1), f"{tmp_path}/j")
+    assert {r.id for r in spark.read.json(f"{tmp_path}/p").collect()} == {"a", "b"}
+    assert sorted((r.id, r.ok) for r in spark.read.json(f"{tmp_path}/j").collect()) == [("a", False), ("b", True), ("b", True)]
+
+
+def test_json_arrays_are_read_back(spark, tmp_path):
+    rows = spark.range(100).selectExpr("concat('q', id) AS question_id", "'a}\"{' AS question")
+    sinks.json_arrays(rows.repartition(3), f"{tmp_path}/r")
+    got = logs.records(spark, f"{tmp_path}/r").collect()
+    assert {r.question_id for r in got} == {f"q{k}" for k in range(100)} and {r.question for r in got} == {'a}"{'} and len({r.file_place for r in got}) == 100
