@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import grams
 from ..functions.text import normalize
+from ..shared import cut
 
 BLOCK = 1024  # queries in one matrix product
+SIGNATURE = 4  # words of 64 bits
 CHUNK = 32_768  # vectors, or queries, of one task
 
 
@@ -20,6 +24,13 @@ def dictionary(values: DataFrame) -> DataFrame:
     return v.withColumn("norm", normalize(F.col("value"))).withColumn("grams", grams(F.col("value"))).withColumn("n", F.size("grams"))
 
 
+def _signature(grams_: Column) -> list[Column]:
+    """A set as ``SIGNATURE`` words of 64 bits, in which each element sets one bit."""
+    bits = F.transform(grams_, lambda g: F.pmod(F.xxhash64(g), F.lit(64 * SIGNATURE)))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
+    return [F.aggregate(F.filter(bits, lambda b, k=k: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(one(b))) for k in range(SIGNATURE)]
+
+
 def similar_pairs(values: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of distinct values a < b whose 3-gram similarity is at least ``least`` (above 0).
 
@@ -27,19 +38,28 @@ def similar_pairs(values: DataFrame, least: float) -> DataFrame:
     first n - ceil(least * n) + 1 are indexed, since two sets as similar as that share one of them. Equal norms have
     similarity 1; a value without letters pairs with nothing but its equals. Common grams
     are last in the order and stay out of the index, so no frequent gram gathers its values.
+
+    The index holds numbers only: of each pair that meets in it the sizes and two bit signatures are compared, whose differing
+    bits bound the symmetric difference from below. What can still be similar is made distinct, and only then do the sets themselves come to it.
     """
-    d = dictionary(values)
-    each = d.select("value", "norm", "grams", "n", F.explode("grams").alias("gram"))
+    d = cut(dictionary(values).withColumn("id", F.monotonically_increasing_id()))
+    each = d.select("id", "n", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("value").orderBy("f", "gram")
+    w = Window.partitionBy("id").orderBy("f", "gram")
     rare = each.join(often, "gram").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
-    left = rare.select("gram", F.col("value").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"), F.col("norm").alias("xa"))
-    right = rare.select("gram", F.col("value").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"), F.col("norm").alias("xb"))
-    near = (F.col("a") < F.col("b")) & (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
-    met = left.join(right, "gram").where(near)
+    signed = d.select("id", *[s.alias(f"s{k}") for k, s in enumerate(_signature(F.col("grams")))])
+    index = cut(rare.select("id", F.xxhash64("gram").alias("g"), "n").join(signed, "id"))
+    left, right = (index.select("g", *[F.col(c).alias(f"{c}{side}") for c in ("id", "n", *[f"s{k}" for k in range(SIGNATURE)])]) for side in "ab")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{k}a").bitwiseXOR(F.col(f"s{k}b"))) for k in range(SIGNATURE)])
+    near = (F.col("ida") < F.col("idb")) & (F.col("na") >= F.lit(least) * F.col("nb")) & (F.col("nb") >= F.lit(least) * F.col("na"))
+    # |A and B| / |A or B| >= least with at least ``differ`` in one of them only
+    near = near & ((F.col("na") + F.col("nb")) * (1.0 - least) + 1e-9 >= differ * (1.0 + least))
+    met = left.join(right, "g").where(near).select("ida", "idb").distinct()
+    x, y = (d.select(F.col("id").alias(f"id{s}"), F.col("value").alias(f"v{s}"), F.col("norm").alias(f"x{s}"), F.col("grams").alias(f"g{s}"), F.col("n").alias(f"m{s}")) for s in "ab")
+    pairs = met.join(x, "ida").join(y, "idb")
     shared = F.size(F.array_intersect("ga", "gb"))
-    score = F.when(F.col("xa") == F.col("xb"), F.lit(1.0)).when((F.col("xa") == "") | (F.col("xb") == ""), F.lit(0.0)).otherwise(shared / (F.col("na") + F.col("nb") - shared))
-    return met.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= least).distinct()
+    score = F.when(F.col("xa") == F.col("xb"), F.lit(1.0)).when((F.col("xa") == "") | (F.col("xb") == ""), F.lit(0.0)).otherwise(shared / (F.col("ma") + F.col("mb") - shared))
+    return pairs.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), score.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def near_duplicates(values: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
