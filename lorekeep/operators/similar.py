@@ -28,7 +28,11 @@ def _signature(grams_: Column) -> list[Column]:
     """A set as ``SIGNATURE`` words of 64 bits, in which each element sets one bit."""
     bits = F.transform(grams_, lambda g: F.pmod(F.xxhash64(g), F.lit(64 * SIGNATURE)))
     one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))
-    return [F.aggregate(F.filter(bits, lambda b, k=k: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(one(b))) for k in range(SIGNATURE)]
+
+    def word(k: int) -> Column:
+        return F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(one(b)))
+
+    return [word(k) for k in range(SIGNATURE)]
 
 
 def similar_pairs(values: DataFrame, least: float) -> DataFrame:

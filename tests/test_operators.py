@@ -409,3 +409,17 @@ def test_tables_are_created_once(spark):
         assert spark.table("runs_of_a_test").count() == 1
     finally:
         spark.sql("DROP TABLE IF EXISTS runs_of_a_test")
+
+
+def test_signatures_lose_no_pair(spark):
+    """Many long values that differ by letters: what the signatures let through must hold every similar pair."""
+    from lorekeep.functions.similarity import trigram_similarity
+
+    rng = random.Random(12)
+    base = ["listens on port", "service:yonder-domino-22323", "deploy window of the whole cluster"]
+    values = sorted({"".join(c if rng.random() > 0.06 else rng.choice("abcdefgxyz ") for c in rng.choice(base)) for _ in range(150)})
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in similar.similar_pairs(df, 0.5).collect()}
+    a, b = (df.select(F.col("v").alias(x)) for x in "ab")
+    wanted = a.crossJoin(b).where("a < b").withColumn("s", trigram_similarity(F.col("a"), F.col("b"))).where("s >= 0.5")
+    assert got == {(r.a, r.b): round(r.s, 9) for r in wanted.collect()} and len(got) > 300
