@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +42,31 @@ def paired_stats(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def _log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function from 1 on, by its asymptotic series eight places further up."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    below = reduce(lambda p, q: p * q, [x + float(k) for k in range(8)])
+    return series - F.log(below)
+
+
 def mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact McNemar p: 2 * sum of C(n, k) / 2^n for k up to min(b, c), at most 1; 1 without discordant pairs.
 
-    The terms are accumulated as logarithms, so that no number of pairs overflows.
+    The sum runs down from its largest term, whose logarithm is known, and each term is a fraction of the one before; after about
+    eight square roots of n they no longer count, so the work doesn't grow with n itself and no number of pairs overflows.
     """
-    n, m = (b + c).cast("double"), F.least(b, c)
-    start = F.struct((-n * F.lit(math.log(2.0))).alias("term"), (-n * F.lit(math.log(2.0))).alias("total"))
+    n, m = (b + c).cast("double"), F.least(b, c).cast("double")
+    top = _log_gamma(n + 1.0) - _log_gamma(m + 1.0) - _log_gamma(n - m + 1.0) - n * F.lit(math.log(2.0))
+    terms = F.least(m, F.floor(F.sqrt(n) * 8.0) + 64.0).cast("long")
 
-    def step(s, k):
-        term = s["term"] + F.log((n - k + 1) / k)
-        high = F.greatest(s["total"], term)
-        return F.struct(term.alias("term"), (high + F.log(F.exp(s["total"] - high) + F.exp(term - high))).alias("total"))
+    def step(s, j):
+        term = s["term"] * (m - j + 1.0) / (n - m + j)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
-    tail = F.aggregate(F.when(m >= 1, F.sequence(F.lit(1).cast("long"), m.cast("long"))).otherwise(F.array().cast("array<bigint>")), start, step)["total"]
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(tail + F.lit(math.log(2.0)))))
+    down = F.when(terms >= 1, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    total = F.aggregate(down, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), step)["total"]
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top + F.log(total) + F.lit(math.log(2.0)))))
 
 
 def report(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:

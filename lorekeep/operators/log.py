@@ -122,16 +122,16 @@ def greedy_batches(log: DataFrame, key: list[str], most: int = 20, limit: int =
         return pd.DataFrame({"_key": [g["_key"].iloc[0]], "_p": [int(g["_q"].iloc[0])], "_exit": [exits], "_count": [counts]})
 
     tables = borders.groupBy("_key", "_q").applyInPandas(table, "_key string, _p long, _exit array<int>, _count array<int>")
-    chain = tables.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_p", "_exit", "_count"))).alias("_ts"))  # one small entry for each piece
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<struct<p:bigint,at:int,n:int>>").alias("out"))
 
-    def step(s, t):
-        return F.struct(
-            F.element_at(t["_exit"], s["at"] + 1).alias("at"), (s["n"] + F.element_at(t["_count"], s["at"] + 1)).alias("n"),
-            F.concat(s["out"], F.array(F.struct(t["_p"].alias("p"), s["at"].alias("at"), s["n"].alias("n")))).alias("out"),
-        )
+    def compose(g: pd.DataFrame) -> pd.DataFrame:
+        g, at, n, ats, ns = g.sort_values("_p"), 0, 0, [], []
+        for exits, counts in zip(g["_exit"], g["_count"]):
+            ats.append(at)
+            ns.append(n)
+            at, n = int(exits[at]), n + int(counts[at])
+        return pd.DataFrame({"_key": g["_key"], "_p": g["_p"], "_at": ats, "_n": ns})
 
-    entries = chain.select("_key", F.explode(F.aggregate("_ts", state, step)["out"]).alias("_e")).select("_key", F.col("_e.p").alias("_p"), F.col("_e.at").alias("_at"), F.col("_e.n").alias("_n"))
+    entries = tables.groupBy("_key").applyInPandas(compose, "_key string, _p long, _at int, _n long")  # one row for each piece
     entered = p.join(entries, ["_key", "_p"], "left").select("_key", "_p", "pos", "id", "_t", F.coalesce("_at", F.lit(0)).alias("_at"), F.coalesce("_n", F.lit(0)).alias("_n"))
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,9 +18,11 @@ from ..shared import scratch
 from ..sources import logs as sources
 from ..sources import sinks
 from ..sources.tables import table
+from ..streaming import ingest
 from .portraits import whole_sql
 
 WINDOW, WORDS = 4, 8
+DAY = "2025-03-30"
 TOP = 10
 
 
@@ -92,7 +94,42 @@ def arm_prompts_memory(spark: SparkSession, folder: str) -> DataFrame:
     return asked.join(digest, "point_id").join(t, "point_id").select("point_id", arm_prompt(F.col("transcript"), F.col("content"), F.col("digest")).alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (benchmark_log, benchmark_points, record_days, session_projects, arm_prompts_memory)}
+def messages_from_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages written as JSON lines and read back."""
+    m = table(spark, folder, "messages")
+    path = scratch(spark, "lines")
+    m.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.json(path)
+    r = sources.messages_jsonl(spark, path)
+    return r.select("id", "session_name", "peer_name", F.md5(F.col("content").cast("binary")).alias("digest"), F.col("token_count").cast("int").alias("token_count"), F.unix_micros("created_at").alias("micros"))
+
+
+def candidates_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of one day, exported as candidates and read back."""
+    log = logs.message_log(logs.day_slice(table(spark, folder, "messages"), DAY, DAY))
+    path = scratch(spark, "candidates")
+    sinks.candidates_jsonl(log, path)
+    return spark.read.schema("id BIGINT, session STRING, peer STRING, tokens INT").json(path)
+
+
+def messages_ingested(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages after they came as a stream of many files, a tenth of them twice, by session with its cursor."""
+    m = table(spark, folder, "messages").withColumn("created_at", F.col("created_at").cast("timestamp")).select("id", "session_name", "peer_name", "content", "token_count", "created_at")
+    came, out = scratch(spark, "came"), scratch(spark, "ingested")
+    m.union(m.where("id % 10 = 0")).repartition(12).write.parquet(came)
+    ingest.ingest(ingest.message_stream(spark, came, 5), out, f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.schema(ingest.MESSAGE).parquet(f"{out}/messages").groupBy("session_name").agg(F.count("*").alias("messages"))
+    cursors = spark.read.schema("session_name STRING, position BIGINT").parquet(f"{out}/cursors").groupBy(F.col("session_name").alias("_s")).agg(F.max("position").alias("position"))
+    return rows.join(cursors, rows["session_name"].eqNullSafe(cursors["_s"])).select("session_name", "messages", "position")
+
+
+def session_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages and tokens of each session between gaps of half an hour: the streaming operator over the whole table."""
+    m = table(spark, folder, "messages").where("created_at is not null").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    a = ingest.session_activity(m)
+    return a.select("session_name", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "messages", "tokens")
+
+
+QUERIES = {f.__name__: f for f in (messages_from_lines, candidates_written, messages_ingested, session_activity, benchmark_log, benchmark_points, record_days, session_projects, arm_prompts_memory)}
 _DAYS = "SELECT id // 20 AS q, id % 4 AS s, date_trunc('minute', min(created_at)) AS day FROM messages GROUP BY ALL"
 _ROLE = "CASE WHEN peer_name IS NULL OR lower(peer_name) IN ('user', 'human') THEN 'User' WHEN lower(peer_name) IN ('assistant', 'ai') THEN 'Assistant' ELSE peer_name END"
 SQL = {
@@ -102,6 +139,12 @@ SQL = {
       SELECT 'q' || q AS question_id, row_number() OVER (PARTITION BY q ORDER BY last, day NULLS LAST, s, t) AS id, 'lme-q' || q AS session_name, peer_name, content, greatest(1, length(content) // 4)::INT AS token_count, day::TIMESTAMP AS created_at FROM t""",
     "benchmark_points": f"""SELECT 'lme-q' || q AS id, 'L1' AS level, 'lme-q' || q AS source_session, n + 1 AS source_message_id, 'What of "}}{{" in ' || q || '?' AS trigger, 'answer ' || q AS truth, 'answer ' || q AS must
       FROM (SELECT id // 20 AS q, count(*) AS n FROM messages GROUP BY 1) WHERE q % 3 < 2 AND q % 5 <> 0 AND q % 7 <> 0 AND n > {WINDOW}""",
+    "messages_from_lines": "SELECT id, session_name, peer_name, md5(content) AS digest, token_count::INT AS token_count, epoch_us(created_at) AS micros FROM messages",
+    "candidates_written": f"SELECT id, session_name AS session, peer_name AS peer, coalesce(token_count, greatest(1, length(content) // 4), 1)::INT AS tokens FROM messages WHERE created_at >= DATE '{DAY}' AND created_at < DATE '{DAY}' + INTERVAL 1 DAY",
+    "messages_ingested": "SELECT session_name, count(*) AS messages, max(id) AS position FROM messages GROUP BY session_name",
+    "session_activity": """WITH m AS (SELECT session_name, created_at, token_count, coalesce(created_at - lag(created_at) OVER (PARTITION BY session_name ORDER BY created_at) > INTERVAL 30 MINUTE, true) AS fresh FROM messages WHERE created_at IS NOT NULL),
+        n AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY session_name ORDER BY created_at RANGE UNBOUNDED PRECEDING) AS k FROM m)
+      SELECT session_name, min(created_at) AS started, max(created_at) + INTERVAL 30 MINUTE AS ended, count(*) AS messages, CAST(sum(coalesce(token_count, 0)) AS BIGINT) AS tokens FROM n GROUP BY session_name, k""",
     "record_days": f"SELECT q, s, day::TIMESTAMP AS day FROM ({_DAYS})",
     "session_projects": """SELECT DISTINCT session_name, CASE WHEN session_name IS NULL OR contains(session_name, 'jrestly') THEN 'project:jrestly' WHEN starts_with(session_name, 'per-directory-opencode-')
         THEN 'project:' || regexp_replace(session_name[24:], '-[^-]+$', '') ELSE 'project:libx' END AS project, CASE WHEN session_name IS NULL OR contains(session_name, 'jrestly') THEN 'project:jrestly' ELSE 'project:' || session_name END AS directory FROM messages""",

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []  # what ``scratch`` has handed out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only on a single machine where none is configured (tests)."""
     jsc = spark.sparkContext._jsc.sc()
@@ -25,7 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def cut(df: DataFrame, parts: str | None = None) -> DataFrame:
@@ -45,6 +50,22 @@ def cut(df: DataFrame, parts: str | None = None) -> DataFrame:
     return out
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file into the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all that this process has put into the shared folder. Results that still read from it must have been written."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
