@@ -6,7 +6,6 @@ import base64
 import hashlib
 import os
 import re
-import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -18,7 +17,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import spread
+from ..shared import ensure_checkpoint_dir, put, spread
 from ..sources.tables import table
 from .lexicon import Lexicon, compile_lexicon
 
@@ -170,12 +169,11 @@ class Tokenizer:
 
     @staticmethod
     def _share(spark: SparkSession, name: str, content: bytes) -> str:
-        """Put a file on every executor through Spark's own file server, under a name made from its content."""
+        """Hand a file to every executor from the shared folder, under a name made from its content. It stays there, as executors may join later."""
         name = f"{name}-{hashlib.sha256(content).hexdigest()[:16]}"
-        path = os.path.join(tempfile.mkdtemp(), name)
-        with open(path, "wb") as f:
-            f.write(content)
         if not any(x.endswith(f"/{name}") for x in spark.sparkContext.listFiles):
+            path = f"{ensure_checkpoint_dir(spark)}/{name}"
+            put(spark, path, content)
             spark.sparkContext.addFile(path)
         return name
 
