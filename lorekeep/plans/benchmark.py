@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prompts import arm_prompt
-from ..functions.text import project_of
+from ..functions.parsing import readable
+from ..functions.prompts import arm_prompt, batch_line
+from ..functions.text import cut_text, progress, project_of
+from ..operators import lifecycle, providers
 from ..operators import log as logs
 from ..operators import portrait as portraits
 from ..operators.sequences import positions
@@ -33,17 +35,20 @@ def _dialogues(spark: SparkSession, folder: str) -> DataFrame:
     return m.groupBy("q", "s").agg(turns.alias("turns"), F.coalesce(day, F.lit("unknown")).alias("day"))
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
-    """The records, written as JSON arrays and read back."""
+def _record_rows(spark: SparkSession, folder: str) -> DataFrame:
     each = _dialogues(spark, folder).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("s", "day", "turns"))).alias("d"))
     kind = F.when(F.col("q") % 3 == 0, "single").when(F.col("q") % 3 == 1, "multi").otherwise("other")
     answer = F.when(F.col("q") % 5 == 0, F.lit("one two three four five six seven eight nine")).when(F.col("q") % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("answer "), F.col("q")))
-    rows = each.select(
+    return each.select(
         F.concat(F.lit("q"), F.col("q")).alias("question_id"), kind.alias("question_type"), F.concat(F.lit('What of "}{" in '), F.col("q"), F.lit("?")).alias("question"), answer.alias("answer"),
         F.lit("2026/01/02 (Fri) 03:04").alias("question_date"), F.transform("d", lambda x: x["day"]).alias("haystack_dates"), F.transform("d", lambda x: x["turns"]).alias("haystack_sessions"),
     )
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records, written as JSON arrays and read back."""
     path = scratch(spark, "records")
-    sinks.json_arrays(rows, path)
+    sinks.json_arrays(_record_rows(spark, folder), path)
     return sources.records(spark, path)
 
 
@@ -111,6 +116,58 @@ def candidates_written(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("id BIGINT, session STRING, peer STRING, tokens INT").json(path)
 
 
+def routed_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of a session from a file of lines, found through its archive first and the live place next."""
+    path = scratch(spark, "fixture")
+    table(spark, folder, "messages").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.json(path)
+    place = sources.first_existing(spark, f"{path}-archived", path)
+    return sources.route(spark, "live", fixture=place).select("id", "session_name")
+
+
+def routed_record(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of one benchmark session, by its record."""
+    path = scratch(spark, "records")
+    sinks.json_arrays(_record_rows(spark, folder), path)
+    return sources.route(spark, "lme-q3", record_file=path).select("id", "session_name", "peer_name", "content")
+
+
+def points_from_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Exam points made from messages, written as lines and read back; a repeated id would raise."""
+    path = scratch(spark, "points")
+    m = table(spark, folder, "messages").select(F.concat(F.lit("p-"), F.col("id")).alias("id"), F.lit("L1").alias("level"), F.col("session_name").alias("sourceSession"), F.col("id").alias("sourceMessageId"), F.col("content").alias("trigger"))
+    sinks.points_jsonl(m, path)
+    p = sources.points_jsonl(spark, path)
+    return p.select("id", "level", F.col("sourceSession").alias("source_session"), F.col("sourceMessageId").alias("source_message_id"), F.md5(F.col("trigger").cast("binary")).alias("digest"))
+
+
+def session_day(spark: SparkSession, folder: str) -> DataFrame:
+    """One session's messages of one day."""
+    m = table(spark, folder, "messages")
+    return logs.day_slice(m, DAY, DAY, m.where(F.col("created_at").cast("date") == F.lit(DAY).cast("date")).agg(F.min("session_name")).first()[0] or "").select("id", "session_name")
+
+
+def texts_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as a list shows them, with a mark where something was cut off, and their whole lengths."""
+    return table(spark, folder, "documents").select("doc_id", cut_text(F.col("text"), 80).alias("opening"), F.length("text").alias("chars"))
+
+
+def session_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each session has been read, if reading a message took a second: percent, messages a minute and the time left."""
+    m = table(spark, folder, "messages").select("id", "session_name")
+    used = table(spark, folder, "facts").select(F.explode("evidence").alias("id")).distinct()
+    n = lifecycle.processed(m, lifecycle.cursor(m.join(used, "id", "left_semi"), "session_name", "id"), "session_name", "id")
+    p = progress(F.col("done"), F.col("total"), F.col("done"))
+    return n.select("session_name", p["percent"].alias("percent"), p["per_minute"].alias("per_minute"), p["left"].alias("left"))
+
+
+def extraction_costs(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and tokens of the offline extractor over the statements of facts."""
+    f = table(spark, folder, "facts").where("statement is not null")
+    b = f.select("fact_no", batch_line(F.col("fact_no"), F.lit("user"), F.regexp_replace("statement", r"\s*[\n\r]+\s*", " ")).alias("text"))
+    a = providers.complete(b, ["fact_no"], "", "text", providers.FieldExtractor(), readable)
+    return a.agg(F.count("*").alias("answers"), F.sum("calls").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
 def messages_ingested(spark: SparkSession, folder: str) -> DataFrame:
     """The messages after they came as a stream of many files, a tenth of them twice, by session with its cursor."""
     m = table(spark, folder, "messages").withColumn("created_at", F.col("created_at").cast("timestamp")).select("id", "session_name", "peer_name", "content", "token_count", "created_at")
@@ -129,7 +186,7 @@ def session_activity(spark: SparkSession, folder: str) -> DataFrame:
     return a.select("session_name", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "messages", "tokens")
 
 
-QUERIES = {f.__name__: f for f in (messages_from_lines, candidates_written, messages_ingested, session_activity, benchmark_log, benchmark_points, record_days, session_projects, arm_prompts_memory)}
+QUERIES = {f.__name__: f for f in (routed_log, routed_record, points_from_lines, session_day, texts_cut, session_progress, extraction_costs, messages_from_lines, candidates_written, messages_ingested, session_activity, benchmark_log, benchmark_points, record_days, session_projects, arm_prompts_memory)}
 _DAYS = "SELECT id // 20 AS q, id % 4 AS s, date_trunc('minute', min(created_at)) AS day FROM messages GROUP BY ALL"
 _ROLE = "CASE WHEN peer_name IS NULL OR lower(peer_name) IN ('user', 'human') THEN 'User' WHEN lower(peer_name) IN ('assistant', 'ai') THEN 'Assistant' ELSE peer_name END"
 SQL = {
@@ -139,6 +196,18 @@ SQL = {
       SELECT 'q' || q AS question_id, row_number() OVER (PARTITION BY q ORDER BY last, day NULLS LAST, s, t) AS id, 'lme-q' || q AS session_name, peer_name, content, greatest(1, length(content) // 4)::INT AS token_count, day::TIMESTAMP AS created_at FROM t""",
     "benchmark_points": f"""SELECT 'lme-q' || q AS id, 'L1' AS level, 'lme-q' || q AS source_session, n + 1 AS source_message_id, 'What of "}}{{" in ' || q || '?' AS trigger, 'answer ' || q AS truth, 'answer ' || q AS must
       FROM (SELECT id // 20 AS q, count(*) AS n FROM messages GROUP BY 1) WHERE q % 3 < 2 AND q % 5 <> 0 AND q % 7 <> 0 AND n > {WINDOW}""",
+    "routed_log": "SELECT id, session_name FROM messages",
+    "routed_record": f"""WITH d AS ({_DAYS}), t AS (
+        SELECT 0 AS last, day, m.id % 4 AS s, m.id AS t, coalesce(peer_name, 'user') AS peer_name, coalesce(content, '') AS content FROM messages m JOIN d ON d.q = m.id // 20 AND d.s = m.id % 4 WHERE q = 3
+        UNION ALL SELECT 1, TIMESTAMP '2026-01-02 03:04:00', 0, 0, 'user', 'What of "}}{{" in 3?')
+      SELECT row_number() OVER (ORDER BY last, day NULLS LAST, s, t) AS id, 'lme-q3' AS session_name, peer_name, content FROM t""",
+    "points_from_lines": "SELECT 'p-' || id AS id, 'L1' AS level, session_name AS source_session, id AS source_message_id, md5(content) AS digest FROM messages",
+    "session_day": f"""WITH d AS (SELECT id, session_name FROM messages WHERE created_at >= DATE '{DAY}' AND created_at < DATE '{DAY}' + INTERVAL 1 DAY) SELECT * FROM d WHERE session_name = (SELECT min(session_name) FROM d)""",
+    "texts_cut": "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS opening, length(text)::INT AS chars FROM documents",
+    "session_progress": """WITH used AS (SELECT DISTINCT unnest(evidence) AS id FROM facts), c AS (SELECT session_name, max(id) AS p FROM messages JOIN used USING (id) GROUP BY session_name),
+        n AS (SELECT m.session_name, count(*) AS total, count(*) FILTER (id <= coalesce(p, 0)) AS done FROM messages m LEFT JOIN c ON c.session_name IS NOT DISTINCT FROM m.session_name GROUP BY m.session_name)
+      SELECT session_name, done * 100 // total AS percent, CASE WHEN done > 0 THEN 60.0::DOUBLE END AS per_minute, CASE WHEN done > 0 THEN format('{}:{:02d}:{:02d}', (total - done) // 3600, (total - done) // 60 % 60, (total - done) % 60) END AS left FROM n""",
+    "extraction_costs": r"""SELECT count(*) AS answers, count(*) AS calls, CAST(sum(length('[' || fact_no || '] user: ' || regexp_replace(statement, '\s*[\n\r]+\s*', ' ', 'g')) // 4) AS BIGINT) AS prompt_tokens FROM facts WHERE statement IS NOT NULL""",
     "messages_from_lines": "SELECT id, session_name, peer_name, md5(content) AS digest, token_count::INT AS token_count, epoch_us(created_at) AS micros FROM messages",
     "candidates_written": f"SELECT id, session_name AS session, peer_name AS peer, coalesce(token_count, greatest(1, length(content) // 4), 1)::INT AS tokens FROM messages WHERE created_at >= DATE '{DAY}' AND created_at < DATE '{DAY}' + INTERVAL 1 DAY",
     "messages_ingested": "SELECT session_name, count(*) AS messages, max(id) AS position FROM messages GROUP BY session_name",
