@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, spread
+from ..shared import cut, discard, spread
 from ..sources.tables import table
 
 LEAST_BITS = -1.2  # disclosure, as log2 of the odds that a span or term is personal, from which on it is replaced (-1.2: three in ten)
@@ -348,7 +348,9 @@ def revealing_terms(texts: DataFrame, least: float = LEAST_BITS) -> DataFrame:
     scored = counts.where("term <> ''").withColumn("bits", F.when(F.col("type") == "NAME", own).otherwise(own - _odds(base)))
     told = scored.where(F.when(F.col("type") == "NAME", F.col("bits") >= least).otherwise(F.abs("bits") >= 0.25)).select("type", "term", "bits")
     types = spark.createDataFrame([(kind, "", math.log2(p / (1 - p)) if 0 < p < 1 else 0.0) for kind, p in share.items() if kind != "NAME"], "type string, term string, bits double")
-    return told.union(types)
+    out = cut(told.union(types))
+    discard(counts)
+    return out
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -76,7 +76,9 @@ def reply_to_previous(rows: DataFrame, *, thread: str, node: str, at: str) -> Da
     inner = r.select("node", "_t", F.lag("node").over(w).alias("_before"), F.lag("_t").over(w).alias("_bt"))
     joined = inner.join(F.broadcast(before), "node", "left")
     same = F.when(F.col("_t") == F.coalesce(F.col("_bt"), F.col("_end._t")), F.coalesce(F.col("_before"), F.col("_end.node")))
-    return joined.select("node", same.alias("parent"))
+    out = joined.select("node", same.alias("parent"))
+    out._scratch_path = r._scratch_path  # for ``discard``, once the pointers have been read
+    return out
 
 
 def role(peer: Column) -> Column:
@@ -108,7 +110,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     whole = kept.join(voices.where("first = 'User' and last = 'Assistant'").select("session_name"), "session_name", "left_semi")
     whole = cut(whole)
     discard(kept)
-    paths = resolve(reply_to_previous(whole, thread="session_name", node="id", at="created_at")).where("state = 'ok'")
+    links = reply_to_previous(whole, thread="session_name", node="id", at="created_at")
+    paths = resolve(links).where("state = 'ok'")
+    discard(links)
     turns = paths.select(F.col("node").alias("id"), F.col("depth").alias("turn_no"))
     return whole.join(turns, "id").select("session_name", "turn_no", F.col("id").alias("message_id"), "speaker")
 
@@ -129,12 +133,17 @@ def planted(messages: DataFrame) -> DataFrame:
     sessions = m.groupBy("session_name").agg(F.min(F.struct("created_at", "id"))["id"].alias("node"), F.max(F.struct("created_at", "id"))["id"].alias("_last"))
     faulty = links.join(sessions.select("node", "_last"), "node", "left")
     parent = F.when(F.col("node") % 97 == 0, -F.col("node")).when(F.col("_last").isNotNull() & (F.col("node") % 3 == 0), F.col("_last")).otherwise(F.col("parent"))
-    return faulty.select("node", parent.alias("parent"))
+    out = faulty.select("node", parent.alias("parent"))
+    out._scratch_path = links._scratch_path
+    return out
 
 
 def p4_states(spark: SparkSession, folder: str) -> DataFrame:
     """(node, root, depth, state) of every message under reply pointers with planted orphans and cycles."""
-    return resolve(planted(table(spark, folder, "messages")))
+    links = planted(table(spark, folder, "messages"))
+    states = resolve(links)
+    discard(links)
+    return states
 
 
 # Along a session a new path starts at its first row and at every orphan; a first row that points to the last one continues
