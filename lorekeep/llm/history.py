@@ -446,12 +446,14 @@ def repeated(kept: DataFrame) -> DataFrame:
     total = kept.count()
     hot = cut(kept.groupBy("block").count().where(F.col("count") > HOT_BLOCK).select("block", F.ceil(F.col("count") / HOT_BLOCK).cast("long").alias("salts")))
     history = History(spark, max(2 * spark.sparkContext.defaultParallelism, -(-total // ROWS_PER_SHARD)), hot)
-    for number in sorted(r.batch_no for r in kept.select("batch_no").distinct().collect()):  # one value a batch
-        batch = kept.where(F.col("batch_no") == number).groupBy("block", "letters").agg(F.min("fact_no").alias("number"))
-        history.add(batch, search=number > 0)
-    found = cut(history.found())
-    history.drop()
-    discard(hot)
+    try:
+        for number in sorted(r.batch_no for r in kept.select("batch_no").distinct().collect()):  # one value a batch
+            batch = kept.where(F.col("batch_no") == number).groupBy("block", "letters").agg(F.min("fact_no").alias("number"))
+            history.add(batch, search=number > 0)
+        found = cut(history.found())
+    finally:
+        history.drop()
+        discard(hot)
     later = kept.where("batch_no > 0")
     classes = later.groupBy("batch_no", "block", "letters").agg(F.min("fact_no").alias("number"))
     answer = classes.join(found, "number", "left").select("batch_no", "block", "letters", F.coalesce("first", "number").alias("first_no"))
