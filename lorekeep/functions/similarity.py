@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,19 @@ def grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
 
 
+def coded_grams(norms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for texts that are normalised: (place of the text, its 3-gram as one number), with repeats. The empty text has a 3-gram of its own, -1."""
+    padded = [f"  {t} " for t in norms]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    length = np.array([len(p) for p in padded], np.int64)
+    at = np.repeat(np.arange(len(padded)), length)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]  # 21 bits hold every code point
+    whole = at[:-2] == at[2:]
+    at, codes = at[:-2][whole], codes[whole]
+    codes[length[at] == 3] = -1
+    return at, codes
+
+
 def word_grams(c: Column) -> Column:
     """The same for each alphanumeric word by itself."""
     ws = F.filter(F.split(normalize(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import grams
+from ..functions.similarity import coded_grams, grams
 from ..functions.text import normalize
 from ..shared import cut
 
 BLOCK = 1024  # queries in one matrix product
 SIGNATURE = 4  # words of 64 bits
 CHUNK = 32_768  # vectors, or queries, of one task
+TEXT = 64  # characters of a value for which a chunk of values has room
+PAIRS = 65_536  # pairs that a task holds before it hands them on
 
 
 def dictionary(values: DataFrame) -> DataFrame:
@@ -66,6 +72,123 @@ def similar_pairs(values: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), score.alias("similarity")).where(F.col("similarity") >= least)
 
 
+def many_similar_pairs(values: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """The result of ``similar_pairs``, its similarity rounded half up to nine decimals, for a ``least`` so low that the pairs which meet in an index are too many to shuffle.
+
+    No pair is ever shuffled or kept: values are dealt into ranges of about ``chunk`` of them, every two ranges are one task, and a task hands on
+    the pairs that it finds in batches of about ``PAIRS``. What is shuffled is each value once per range. A task holds the 3-grams of one range as lists of
+    places, frequent ones as vectors, and counts for each value of the other range how many it shares with all of them at once; values with
+    neighbouring texts share most 3-grams, whose counts are added up once for all of them. The work still grows with the square of the values.
+    """
+    d = cut(values.select(F.col(values.columns[0]).alias("value")).where("value is not null").distinct().withColumn("norm", normalize(F.col("value"))))
+    n, characters = d.agg(F.count("*"), F.coalesce(F.sum(F.length("norm")), F.lit(0))).first()
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, -(-n // chunk), -(-characters // (TEXT * chunk)), min(math.isqrt(8 * cores), n // 1024))
+    dealt = d.repartitionByRange(ranges, "value").sortWithinPartitions("value").withColumn("_x", F.spark_partition_id())
+    to = dealt.withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)))).select(
+        (F.least("_x", "_y").cast("long") * ranges + F.greatest("_x", "_y")).alias("_task"), (F.col("_x") > F.col("_y")).alias("_later"), (F.col("_x") == F.col("_y")).alias("_own"),
+        "value", F.when(F.col("norm") != F.col("value"), F.col("norm")).alias("norm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        t = t.set_column(t.column_names.index("norm"), "norm", pc.coalesce(t["norm"], t["value"])).take(pc.sort_indices(t, [("_later", "ascending"), ("value", "ascending")]))
+        own, split = t["_own"][0].as_py(), t.num_rows - pc.sum(t["_later"]).as_py()
+        a, b = (t, t) if own else (t.slice(0, split), t.slice(split))
+        if len(a) and len(b):
+            left, right = (x["value"].combine_chunks() for x in (a, b))
+            for i, j, similarity in _met(a["norm"].to_pylist(), None if own else b["norm"].to_pylist(), least):
+                yield pa.RecordBatch.from_arrays([left.take(pa.array(i)), right.take(pa.array(j)), pa.array(similarity)], ["a", "b", "similarity"])
+
+    tasks = min(ranges * (ranges + 1), 128 * cores)  # two for each pair of ranges, so that few hold several
+    return to.repartition(tasks, "_task").groupBy("_task").applyInArrow(run, "a string, b string, similarity double")
+
+
+def _met(a: list[str], b: list[str] | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``a``, places in ``b``, similarities) of the similar normalised texts, in batches; without ``b`` of those within ``a``, the first before the second."""
+    at, codes = coded_grams(a if b is None else a + b)
+    vocabulary = _distinct(codes)
+    at, gram = np.divmod(_distinct(at * len(vocabulary) + np.searchsorted(vocabulary, codes)), len(vocabulary))
+    sizes = np.bincount(at, minlength=len(a) + len(b or ()))
+    cuts = np.searchsorted(at, np.arange(len(a) + 1))
+    sets = [set(gram[x:y].tolist()) for x, y in zip(cuts[:-1], cuts[1:])]
+    if b is not None:
+        at, gram = at[cuts[-1] :] - len(a), gram[cuts[-1] :]
+    na, nb = sizes[: len(a)], sizes if b is None else sizes[len(a) :]
+    most = int(sizes.max())
+    kind = np.uint8 if most < 255 else np.uint16 if most < 65_535 else np.int64
+    one, width = kind(1), -(-len(nb) // 8) * 8  # so that eight places can be looked at as one word
+
+    # the least count c with c / (total - c) >= least, by the sum of both sizes
+    total = np.arange(2 * most + 1)
+    needed = np.maximum(np.ceil(total * least / (1 + least)) - 1, 1)
+    for _ in range(2):
+        needed += needed / np.maximum(total - needed, 1) < least
+    needed = np.minimum(needed, most + 1).astype(kind)
+    need = {k: np.append(needed[k + nb], np.ones(width - len(nb), kind)) for k in _distinct(na).tolist()}
+
+    order = np.argsort(gram, kind="stable")
+    ends = np.searchsorted(gram[order], np.arange(len(vocabulary) + 1))
+    places = [at[order[x:y]] for x, y in zip(ends[:-1], ends[1:])]
+    dense = {}
+    for g in np.flatnonzero(np.diff(ends) * 32 >= len(nb)).tolist():
+        dense[g] = np.zeros(width, kind)
+        dense[g][places[g]] = 1
+
+    def add(counts: np.ndarray, grams_: set[int], change: np.ufunc = np.add) -> None:
+        for g in grams_:
+            if (v := dense.get(g)) is not None:
+                change(counts, v, out=counts)
+            elif len(p := places[g]):
+                counts[p] = change(counts[p], one)
+
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def batch() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, c = np.repeat([x for x, _, _ in found], [len(x) for _, x, _ in found]), np.concatenate([x for _, x, _ in found]), np.concatenate([x for _, _, x in found]).astype(np.int64)
+        found.clear()
+        either = na[i] + nb[j] - c
+        return i, j, (c * 2 * 10**9 + either) // (2 * either) / 1e9
+
+    run = sorted(range(len(a)), key=a.__getitem__)
+    base, counts, known = np.zeros(width, kind), np.zeros(width, kind), set()
+    start = 0
+    while start < len(run):
+        shared, stop, first = sets[run[start]], start + 1, 0
+        while stop < len(run) and stop - start < 64:  # as long as no more than a few are lost
+            less = shared & sets[run[stop]]
+            first = first or len(less)
+            if len(less) < first - 3:
+                break
+            shared, stop = less, stop + 1
+        add(base, known - shared, np.subtract)
+        add(base, shared - known)
+        known = shared
+        for i in run[start:stop]:
+            np.copyto(counts, base)
+            add(counts, sets[i] - shared)
+            hit = counts >= need[int(na[i])]
+            words = np.flatnonzero(hit.view(np.uint64))
+            x, y = np.nonzero(hit.reshape(-1, 8)[words])
+            j = words[x] * 8 + y
+            if b is None:
+                j = j[j > i]
+            if len(j):
+                found.append((i, j, counts[j]))
+                held += len(j)
+                if held >= PAIRS:
+                    yield batch()
+                    held = 0
+        start = stop
+    if found:
+        yield batch()
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def near_duplicates(values: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
     """(value, other, similarity, place): for each distinct value its ``most`` most similar other values; ties by value."""
     p = similar_pairs(values, least)

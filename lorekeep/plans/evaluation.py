@@ -283,7 +283,7 @@ def near_dup_top5(spark: SparkSession, folder: str) -> DataFrame:
 
 def subject_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of subjects that may be one identity under two names."""
-    return similar.similar_pairs(table(spark, folder, "facts").select("subject_norm"), 0.3).withColumn("similarity", F.round("similarity", 9))
+    return similar.many_similar_pairs(table(spark, folder, "facts").select("subject_norm"), 0.3)
 
 
 def predicate_pairs(spark: SparkSession, folder: str) -> DataFrame:

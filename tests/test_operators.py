@@ -423,3 +423,36 @@ def test_signatures_lose_no_pair(spark):
     a, b = (df.select(F.col("v").alias(x)) for x in "ab")
     wanted = a.crossJoin(b).where("a < b").withColumn("s", trigram_similarity(F.col("a"), F.col("b"))).where("s >= 0.5")
     assert got == {(r.a, r.b): round(r.s, 9) for r in wanted.collect()} and len(got) > 300
+
+
+def test_many_similar_pairs_equal_the_cross_product_over_many_ranges(spark):
+    from lorekeep.functions.similarity import trigram_similarity
+
+    rng = random.Random(4)
+    base = ["service:yonder-domino-22323", "Service : yonder-domino-2232", "queue_обед 17", "x", "ab", "\U0001f4a1 idea \U0001f4a1", "l" * 300, "".join(rng.choice("abcdef") for _ in range(600))]
+    values = sorted({"".join(c if rng.random() > 0.08 else rng.choice("xyzXYZ -") for c in rng.choice(base)) for _ in range(120)} | {"", " ", "\t", "  x", "X"})
+    df = spark.createDataFrame([(v,) for v in [*values, None, *values[:5]]], "v string")
+    a, b = (df.where("v is not null").distinct().select(F.col("v").alias(x)) for x in "ab")
+    s = a.crossJoin(b).where("a < b").withColumn("s", trigram_similarity(F.col("a"), F.col("b"))).cache()
+    for least, chunk in ((0.05, 10_000), (0.3, 40), (0.3, 10_000), (0.5, 20), (1.0, 50)):
+        wanted = {(r.a, r.b): round(r.s, 9) for r in s.where(F.col("s") >= least).collect()}
+        got = similar.many_similar_pairs(df, least, chunk).collect()
+        assert len(got) == len(wanted) > 5 and {(r.a, r.b): round(r.similarity, 9) for r in got} == wanted
+    assert similar.many_similar_pairs(df.where("v is null"), 0.3).count() == 0
+    assert similar.many_similar_pairs(df.where("v = 'x'"), 0.3).count() == 0
+
+
+def test_subject_pairs_are_not_shuffled(spark, tmp_path):
+    """Two million pairs of two thousand subjects: what is shuffled is the subjects."""
+    from lorekeep.plans import evaluation
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    spark.range(2000).select(F.format_string("service:amber-falcon-%d", F.col("id") + 10_000).alias("subject_norm")).write.parquet(f"{tmp_path}/facts.parquet")
+    before = shuffled()
+    pairs = evaluation.subject_pairs(spark, str(tmp_path))
+    assert pairs.agg(F.count("*"), F.min("similarity")).first()[0] == 2000 * 1999 // 2
+    assert shuffled() - before < 2000 * 1000
